@@ -57,17 +57,21 @@ def test_measures_match_brute_force_on_a_table(spark):
     assert rows(got) == verdicts(plain, 0.02, 2, 0.3)
 
 
+def name(*numbers):
+    return "".join(chr(97 + n % 26) + "zq"[n // 20 % 2] * (1 + n // 20) for n in numbers)
+
+
 def test_boilerplate_is_removed_and_depleted_documents_go(spark):
-    own = ["\n".join(f"line {i} of {j} " + " ".join(f"w{i}x{j}y{k}" for k in range(30)) for j in range(3)) for i in range(40)]
+    own = ["\n".join("line " + " ".join(name(i, j, k) for k in range(30)) for j in range(3)) for i in range(40)]
     common = "Accept all  COOKIES now " + "please " * 3
-    texts = [t + "\n" + common for t in own] + [f"short {i} own words\n" + "\n".join(f"{common} part{x}" for x in "abcdef") for i in range(30)]
+    texts = [t + "\n" + common for t in own] + [f"short {name(i)} own words\n" + "\n".join(f"{common} part{x}" for x in "abcdef") for i in range(30)]
     docs = documents(spark, texts)
     got, removed = quality.judge(docs, 0.1, 5, 0.7)
     kept = {r.doc_id: r.kept for r in got.collect()}
     assert all(kept[i] for i in range(40)) and not any(kept[i] for i in range(40, 70))
     stripped = {r.doc_id: r.text for r in quality.strip_lines(docs, removed).collect()}
     assert all(stripped[i] == own[i] for i in range(40))
-    assert stripped[45] == "short 5 own words"
+    assert stripped[45] == f"short {name(5)} own words"
 
 
 def test_copies_do_not_make_boilerplate(spark):
