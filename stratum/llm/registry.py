@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from stratum.llm.chat import op10_chat_format
+from stratum.llm.packing import op2_packing
 from stratum.llm.quality import op7_quality_rules
 from stratum.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op7_quality_rules": op7_quality_rules,
     "op10_chat_format": op10_chat_format,
