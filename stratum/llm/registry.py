@@ -5,9 +5,11 @@ from __future__ import annotations
 from stratum.llm.chat import op10_chat_format
 from stratum.llm.packing import op2_packing
 from stratum.llm.quality import op7_quality_rules
+from stratum.llm.tokenstore import op9_token_store
 from stratum.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op9_token_store": op9_token_store,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op7_quality_rules": op7_quality_rules,
