@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stratum.llm import textkit as tk
-from stratum.llm.common import arrow_map, drop_materialized, fresh_path, local_fs, materialize, table, vocabulary
+from stratum.llm.common import arrow_map, dealt, drop_materialized, fresh_path, local_fs, materialize, table, vocabulary
 from stratum.llm.encoding import encoder
 
 END_ID = 2
@@ -47,6 +47,8 @@ SHORTEST = 64
 LONGEST = 4096
 DIGEST_BYTES = 20
 MAGIC = b"CIDS"
+#: Chunks of one pack within the same block of this size go to one reader.
+BLOCK_BYTES = 8 << 20
 
 _CRC_POLY = 0xEDB88320
 _ID_MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -150,7 +152,7 @@ def _encode(docs: DataFrame, folder: str, path: str, end_id: int, width: int) ->
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
-def _compact(owned: DataFrame, folder: str, width: int) -> DataFrame:
+def _compact(owned: DataFrame, total: int, folder: str, width: int) -> DataFrame:
     """Copies the owned chunks of each task's packs into new packs; returns the index."""
 
     def run(batches):
@@ -172,8 +174,9 @@ def _compact(owned: DataFrame, folder: str, width: int) -> DataFrame:
         if pack:
             pack.out.close()
 
-    dealt = owned.select("digest", "pack", "place", "ids").repartition("pack").sortWithinPartitions("pack", "place")
-    return arrow_map(dealt, run, "digest binary, pack string, place long, ids int", 4096)
+    rows = owned.select("digest", "pack", "place", "ids")
+    rows = rows.repartition(dealt(total * width), "pack", F.expr(f"place div {BLOCK_BYTES}")).sortWithinPartitions("pack", "place")
+    return arrow_map(rows, run, "digest binary, pack string, place long, ids int", 4096)
 
 
 def _runs(recipes: DataFrame) -> DataFrame:
@@ -210,7 +213,8 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -
     placed = encoded.select("pack", F.explode(F.arrays_zip("chunks", "places", "sizes")).alias("c")).where("c.places >= 0")
     placed = placed.select(F.col("c.chunks").alias("digest"), "pack", F.col("c.places").alias("place"), F.col("c.sizes").alias("ids"))
     owners = placed.groupBy("digest").agg(F.min(F.struct("pack", "place", "ids")).alias("o")).select("digest", "o.*")
-    _compact(owners, folder, width).write.parquet(f"{folder}/index")
+    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
+    _compact(owners, total, folder, width).write.parquet(f"{folder}/index")
     fs, root = local_fs(f"{folder}/packs")
     for row in encoded.select("pack").distinct().toLocalIterator():  # one name per task that encoded
         fs.delete_file(f"{root}/{row.pack}")
@@ -292,8 +296,10 @@ def _stored(index: DataFrame, folder: str, with_data: bool = False) -> DataFrame
             columns = [batch.column(0), batch.column(3).cast(pa.int64()), pa.array(crcs, pa.int64()), pa.array(held, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["digest", "n", "crc", "data"])
 
-    dealt = index.select("digest", "pack", "place", "ids").repartition("pack", F.expr("place div 67108864")).sortWithinPartitions("pack", "place")
-    return arrow_map(dealt, run, "digest binary, n long, crc long, data binary", 4096)
+    total = index.agg(F.sum("ids")).first()[0] or 0
+    rows = index.select("digest", "pack", "place", "ids")
+    rows = rows.repartition(dealt(2 * total), "pack", F.expr(f"place div {BLOCK_BYTES}")).sortWithinPartitions("pack", "place")
+    return arrow_map(rows, run, "digest binary, n long, crc long, data binary", 4096)
 
 
 def _references(recipes: DataFrame) -> DataFrame:

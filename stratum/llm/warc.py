@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm.common import arrow_map, fresh_path, local_fs, materialize, small, table
+from stratum.llm.common import arrow_map, dealt, fresh_path, local_fs, materialize, small, table
 
 #: Payloads shorter than this are always stored in full.
 MIN_REVISIT_BYTES = 1000
@@ -32,7 +32,7 @@ MIN_REVISIT_BYTES = 1000
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
 #: Index rows of one file within the same block of this size go to one reader.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -151,8 +151,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     wanted = index.select("file", "offset", "length")
-    dealt = wanted.repartition("file", F.expr(f"offset div {BLOCK_BYTES}")).sortWithinPartitions("file", "offset")
-    return arrow_map(dealt, run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long", 4096)
+    total = wanted.agg(F.sum("length")).first()[0]
+    rows = wanted.repartition(dealt(total), "file", F.expr(f"offset div {BLOCK_BYTES}")).sortWithinPartitions("file", "offset")
+    return arrow_map(rows, run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long", 4096)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
