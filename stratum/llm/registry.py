@@ -6,9 +6,11 @@ from stratum.llm.chat import op10_chat_format
 from stratum.llm.packing import op2_packing
 from stratum.llm.quality import op7_quality_rules
 from stratum.llm.tokenstore import op9_token_store
+from stratum.llm.transducer import op5_token_counts
 from stratum.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op5_token_counts": op5_token_counts,
     "op9_token_store": op9_token_store,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
