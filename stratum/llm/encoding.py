@@ -1,6 +1,7 @@
 """Exact and fast use of the tokenizers library over batches: each distinct unit of text is encoded once.
 
-A text is cut where ASCII white space follows anything but white space. No pre-token of the byte-level file spans
+A text is cut where ASCII white space follows anything but white space, and before a stop or comma after a letter.
+No pre-token of the byte-level file spans
 such a place, its lookahead stays inside a unit, and the word file drops white space altogether; so the ids of a
 text are those of its units in order, and equal units share the library's answer. Special strings hold no white
 space and thus stand within one unit, where the library treats them by its default.
@@ -16,8 +17,15 @@ import numpy as np
 from stratum.llm import textkit as tk
 
 #: Units held by a process; beyond it the store starts anew.
-MOST_UNITS = 400_000
-_BATCH = 2000
+MOST_UNITS = 1_000_000
+#: Units that the library gets at once.
+_BATCH = 100_000
+
+
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,;:!?"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def _unicode_space_ends(buf: np.ndarray) -> np.ndarray:
@@ -36,12 +44,18 @@ def _unicode_space_ends(buf: np.ndarray) -> np.ndarray:
 
 def units(buf: np.ndarray, offsets: np.ndarray, keep_space: bool) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the units; without keep_space their leading ASCII white space is left out."""
+    # a stop or comma after an ASCII letter is the start of a pre-token in either file
+    stop = np.zeros(len(buf), bool)
+    stop[1:] = _STOP[buf[1:]] & _LETTER[buf[:-1]]
     if not keep_space:
-        return tk.words(buf, offsets)
+        starts, ends = tk.words(buf, offsets)
+        inner = np.flatnonzero(stop)
+        inner = inner[~np.isin(inner, offsets)]
+        return np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
     space = tk.SPACE[buf]
     broad = space | _unicode_space_ends(buf)
     cut = np.zeros(len(buf) + 1, bool)
-    cut[1:-1] = space[1:] & ~broad[:-1]
+    cut[1:-1] = (space[1:] & ~broad[:-1]) | stop[1:]
     cut[offsets[:-1]] = True
     cut[-1] = False
     starts = np.flatnonzero(cut)
@@ -60,6 +74,8 @@ class UnitEncoder:
         self.tokenizer.no_truncation()
         pre = type(self.tokenizer.pre_tokenizer).__name__
         self.keep_space = pre == "ByteLevel"
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.mark, self.mark_id = max(special.items(), key=lambda x: x[1])
         self._clear()
 
     def _clear(self) -> None:
@@ -69,26 +85,46 @@ class UnitEncoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def _library(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
-        flat: list[int] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for at in range(0, len(texts), _BATCH):
-            for k, e in enumerate(self.tokenizer.encode_batch_fast(texts[at : at + _BATCH], add_special_tokens=False)):
-                got = e.ids
-                sizes[at + k] = len(got)
-                flat += got
-        return flat, sizes
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids and their numbers for units that hold the separator themselves."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([x for ids in got for x in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
+
+    def _library_joined(self, data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids of n units that stand joined by a special string: the library splits there first and gives it one id."""
+        ids = np.array(self.tokenizer.encode_batch_fast([data.decode()], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        sizes = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+        if len(sizes) != n:
+            raise ValueError("the separator was not kept apart")
+        return np.delete(ids, marks), sizes
 
     def _learn(self, buf: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > MOST_UNITS:
-            self._clear()
-        data = buf.tobytes()
-        flat, sizes = self._library([data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        while self.used + len(flat) > len(self.ids):
+        mark = np.frombuffer(self.mark.encode(), np.uint8)
+        for at in range(0, len(keys), _BATCH):
+            k, a, b = keys[at : at + _BATCH], starts[at : at + _BATCH], ends[at : at + _BATCH]
+            width = b - a + len(mark)
+            to = np.cumsum(width) - width
+            joined = np.empty(int(width.sum()), np.uint8)
+            shift = np.repeat(a - to, b - a)
+            place = np.arange(len(shift)) + np.repeat(np.arange(len(a)) * len(mark), b - a)
+            joined[place] = buf[place + shift]
+            joined[(to + b - a)[:, None] + np.arange(len(mark))] = mark
+            data = joined[: -len(mark)].tobytes()
+            if data.count(mark.tobytes()) == len(k) - 1:
+                ids, sizes = self._library_joined(data, len(k))
+            else:
+                text = buf.tobytes()
+                ids, sizes = self._library([text[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            self._store(k, ids, sizes)
+
+    def _store(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + len(flat)] = flat
+        self.ids[self.used : self.used + len(ids)] = ids
         at = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
+        self.used += len(ids)
+        # two sorted runs: a stable sort merges them
         order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
         self.keys = np.concatenate([self.keys, keys])[order]
         self.starts = np.concatenate([self.starts, at])[order]
