@@ -9,10 +9,12 @@ from stratum.llm.packing import op2_packing
 from stratum.llm.quality import op7_quality_rules
 from stratum.llm.suffix import op1_suffix_dedup
 from stratum.llm.tokenstore import op9_token_store
+from stratum.llm.toxicity import op4_toxicity
 from stratum.llm.transducer import op5_token_counts
 from stratum.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op1_suffix_dedup": op1_suffix_dedup,
     "op8_near_duplicates": op8_near_duplicates,
     "op6_decontaminate": op6_decontaminate,
