@@ -17,9 +17,9 @@ import numpy as np
 from stratum.llm import textkit as tk
 
 #: Units held by a process; beyond it the store starts anew.
-MOST_UNITS = 1_000_000
+MOST_UNITS = 600_000
 #: Units that the library gets at once.
-_BATCH = 100_000
+_BATCH = 8_000
 
 
 _STOP = np.zeros(256, bool)
