@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm import textkit as tk
-from stratum.llm.common import arrow_map, drop_materialized, materialize, small, table
+from stratum.llm.common import arrow_map, materialize, small, table
 
 #: A line is removed on a host if more than this share of its documents, and more than LINE_FLOOR, hold it.
 LINE_SHARE = 0.05
@@ -96,23 +96,28 @@ def _line_sums(m: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray
     return np.bincount(row[at], minlength=n), key[at], np.add.reduceat(count, at) if len(at) else count[:0]
 
 
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """One row per document: host, measures, hash of the text, and its distinct lines with their words."""
+    """One row per document: host, measures, hash of the text, and its distinct lines with their words;
+    key is a hash by which rows are found again."""
 
     def run(batches):
         for batch in batches:
-            for at, end, buf, offsets in tk.slices(batch.column(2)):
+            for at, end, buf, offsets in tk.slices(batch.column(3)):
                 m = measure(buf, offsets)
                 counts, keys, held = _line_sums(m, end - at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at:end], batch.column(1)[at:end]]
+                    [batch.column(k)[at:end] for k in range(3)]
                     + [pa.array(m[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash")]
                     + [tk.lists(counts, pa.array(keys)), tk.lists(counts, pa.array(held))],
-                    names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "line_hashes", "line_words"],
+                    names=["doc_id", "host", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "line_hashes", "line_words"],
                 )
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("host"), "text")
-    return arrow_map(docs, run, f"doc_id long, host string, {_MEASURES}, text_hash long, line_hashes array<long>, line_words array<long>")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("host"), _key(F.col("text")).alias("key"), "text")
+    return arrow_map(docs, run, f"doc_id long, host string, key long, {_MEASURES}, text_hash long, line_hashes array<long>, line_words array<long>")
 
 
 def frequent_lines(profiled: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR) -> DataFrame:
@@ -153,7 +158,8 @@ def judge(docs: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR, d
 
 
 def strip_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """The documents without their removed lines; a document that loses none keeps its text as it is."""
+    """The documents without their removed lines; a document that loses none keeps its text as it is;
+    n_chars follows the text."""
 
     def run(batches):
         for batch in batches:
@@ -176,9 +182,13 @@ def strip_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
                             kept.append(line)
                         pos += len(line) + 1
                     out[at + i] = b"\n".join(kept).decode()
-            arrays = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != "__lines"]
-            yield pa.RecordBatch.from_arrays(arrays, names=[n for n in batch.schema.names if n != "__lines"])
+            changed = {"text": pa.array(out, pa.string())}
+            if "n_chars" in names and any(lists):
+                sizes = zip(batch.column("n_chars").to_pylist(), out, lists, strict=True)
+                changed["n_chars"] = pa.array([len(t) if gone and t is not None else n for n, t, gone in sizes], batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([changed.get(n, batch.column(n)) for n in names], names=names)
 
+    names = docs.columns
     lines = removed.groupBy(F.col("doc_id").alias("__doc"), F.col("host").alias("__host")).agg(F.flatten(F.collect_list("lines")).alias("__lines"))
     lines = materialize(lines, "quality-strip")
     lines = small(lines, lines.count(), 128)
@@ -187,6 +197,17 @@ def strip_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     return arrow_map(joined, run, docs.schema)
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, without the lines that they remove."""
+    verdicts, removed = judge(docs)
+    bad = verdicts.where("not kept").select(F.col("doc_id").alias("__doc"), F.col("host").alias("__host"), F.col("key").alias("__key"))
+    bad = materialize(bad.distinct(), "quality-rejected")
+    side = small(bad, bad.count(), 64)
+    keyed = docs.withColumn("__k", _key(F.col("text")))
+    same = keyed["doc_id"].cast("long").eqNullSafe(side["__doc"]) & keyed["source"].cast("string").eqNullSafe(side["__host"]) & (keyed["__k"] == side["__key"])
+    return strip_lines(keyed.join(side, same, "left_anti").drop("__k"), removed)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts, _ = judge(table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from stratum.llm.common import strings
 
 #: Bytes that numpy temporaries are sized for; a longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = (1 << 20) - 1
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1

@@ -71,6 +71,7 @@ def test_boilerplate_is_removed_and_depleted_documents_go(spark):
     assert all(kept[i] for i in range(40)) and not any(kept[i] for i in range(40, 70))
     stripped = {r.doc_id: r.text for r in quality.strip_lines(docs, removed).collect()}
     assert all(stripped[i] == own[i] for i in range(40))
+    assert {r.n_chars == len(r.text) for r in quality.strip_lines(docs, removed).collect()} == {True}
     assert stripped[45] == f"short {name(5)} own words"
 
 
