@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import functools
+
+from stratum.plans import dialect, views
+
+QUERIES: dict = {name: functools.partial(lambda spark, sf_dir, text: views.run_sql(spark, sf_dir, text), text=dialect.spark_text(name)) for name in dialect.DIALECT}
+ORACLE_SQL: dict[str, str] = {name: dialect.duck_text(name) for name in dialect.DIALECT}
