@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,10 +54,40 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def arrow_map(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
-    """mapInArrow with batches small enough that long texts fit beside each other."""
+#: Caches that outlive a task, by the operator whose tasks use them.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Announces a cache of a Python worker; it is cleared as soon as the worker gets another operator's task."""
+    _caches[owner] = clear
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
+def arrow_map(df: DataFrame, fn, schema, rows: int = 512, owner: str = "") -> DataFrame:
+    """mapInArrow with batches small enough that long texts fit beside each other.
+
+    Workers live on between tasks, so caches of other operators than the owner are dropped first.
+    """
+
+    def run(batches):
+        stale = [clear for name, clear in _caches.items() if name != owner]
+        for clear in stale:
+            clear()
+        try:
+            yield from fn(batches)
+        finally:
+            _trim()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,9 +15,10 @@ import os
 import numpy as np
 
 from stratum.llm import textkit as tk
+from stratum.llm.common import keeps
 
 #: Units held by a process; beyond it the store starts anew.
-MOST_UNITS = 600_000
+MOST_UNITS = 1_200_000
 #: Units that the library gets at once.
 _BATCH = 8_000
 
@@ -161,3 +162,6 @@ class UnitEncoder:
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
+
+
+keeps("encoding", encoder.cache_clear)

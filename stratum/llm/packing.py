@@ -64,7 +64,7 @@ def pack(docs: DataFrame, path: str, longest: int = SEQUENCE, end_id: int = END_
                     names=["doc_id", "start", "length", "doc_tokens", "ids"],
                 )
 
-    out = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    out = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, start long, length long, doc_tokens long, ids binary", owner="encoding")
     bucket = F.log2("length").cast("int")
     return out.withColumn("bucket", bucket).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 

@@ -149,7 +149,7 @@ def _encode(docs: DataFrame, folder: str, path: str, end_id: int, width: int) ->
             pack.out.close()
 
     schema = "doc_id long, n_tokens long, chunks array<binary>, sizes array<int>, after array<long>, places array<long>, root binary, pack string"
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, schema, owner="encoding")
 
 
 def _compact(owned: DataFrame, total: int, folder: str, width: int) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.llm import textkit as tk
-from stratum.llm.common import arrow_map, table, vocabulary
+from stratum.llm.common import arrow_map, keeps, table, vocabulary
 
 LIMIT = 1024
 #: Characters of a chunk, and of a slice of a long text.
@@ -387,6 +387,9 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
+keeps("transducer", counter.cache_clear)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether they exceed the limit, for every row."""
 
@@ -397,7 +400,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             size = pa.array([len(t) if t.isascii() else len(t.encode()) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", owner="transducer")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
