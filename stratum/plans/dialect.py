@@ -24,8 +24,8 @@ DIALECT: dict[str, str | tuple[str, str]] = {
     "cast_ops": "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS whole, CAST(o_custkey AS VARCHAR(20)) AS cust, CAST(o_orderdate AS DATE) AS day, CAST('12' AS INTEGER) + 1 AS thirteen FROM orders WHERE o_totalprice = floor(o_totalprice) OR o_orderkey % 7 = 0",
     "extract_parts": "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(EXTRACT(MONTH FROM o_orderdate) AS BIGINT) AS m, CAST(EXTRACT(DAY FROM o_orderdate) AS BIGINT) AS d FROM orders",
     "date_interval": (
-        "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate + INTERVAL 90 DAY AS due FROM lineitem WHERE l_shipdate < TIMESTAMP_NTZ '1992-06-01 00:00:00' + INTERVAL 1 MONTH",
-        "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate + INTERVAL '90' DAY AS due FROM lineitem WHERE l_shipdate < TIMESTAMP '1992-06-01 00:00:00' + INTERVAL '1' MONTH",
+        "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate + INTERVAL 90 DAY AS due FROM lineitem WHERE l_shipdate < TIMESTAMP_NTZ '1995-06-01 00:00:00' + INTERVAL 1 MONTH",
+        "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate + INTERVAL '90' DAY AS due FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01 00:00:00' + INTERVAL '1' MONTH",
     ),
     # windows
     "win_rank_partition_order": "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders",
@@ -37,7 +37,7 @@ DIALECT: dict[str, str | tuple[str, str]] = {
     "win_agg_running_rows": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders",
     "win_lag_row_number": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev, lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after FROM orders",
     # predicates
-    "pred_between": "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice NOT BETWEEN 1000 AND 1500",
+    "pred_between": "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice NOT BETWEEN 950 AND 980",
     "pred_between_case": "SELECT p_partkey FROM part WHERE CASE WHEN p_size > 25 THEN p_size - 25 ELSE p_size END BETWEEN 5 AND 9",
     "pred_between_subqueries": "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN (SELECT avg(o_totalprice) FROM orders) AND (SELECT 0.9 * max(o_totalprice) FROM orders)",
     "pred_comparisons": "SELECT s_suppkey FROM supplier WHERE s_acctbal >= 100 AND s_acctbal <= 5000 AND s_nationkey <> 3 AND s_suppkey > 2 AND s_nationkey < 24",
@@ -47,7 +47,7 @@ DIALECT: dict[str, str | tuple[str, str]] = {
     "pred_not_in_with_null": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN r_regionkey > 2 THEN NULL ELSE r_regionkey END FROM region)",
     "pred_exists": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
     "pred_not_exists": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)",
-    "pred_like": "SELECT p_partkey FROM part WHERE p_type LIKE '%STEEL' OR p_name LIKE '%1_' OR p_brand NOT LIKE 'Brand%'",
+    "pred_like": "SELECT p_partkey FROM part WHERE p_type LIKE '%PROMO' OR p_name LIKE '%1_' OR p_brand NOT LIKE 'Brand%'",
     "pred_is_null": "SELECT c.c_custkey, (o.o_orderkey IS NULL) AS missing FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL OR o.o_orderstatus IS NOT NULL",
     "pred_or_and": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_quantity < 3 AND l_discount > 0.05) OR (l_quantity > 48 AND (l_tax < 0.02 OR l_returnflag = 'R'))",
     "pred_not": "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'O' OR o_totalprice < 200000)",
@@ -90,7 +90,7 @@ DIALECT: dict[str, str | tuple[str, str]] = {
     "tpch_q6": "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
     "tpch_q7": "SELECT supp_nation, cust_nation, l_year, round(sum(volume), 4) AS revenue FROM (SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(EXTRACT(YEAR FROM l_shipdate) AS BIGINT) AS l_year, l_extendedprice * (1 - l_discount) AS volume FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND n1.n_regionkey <> n2.n_regionkey) AS shipping GROUP BY supp_nation, cust_nation, l_year",
     "tpch_q10": "SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, n_name",
-    "tpch_q14": "SELECT round(100.0 * sum(CASE WHEN p_type LIKE '%STEEL%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS share FROM lineitem, part WHERE l_partkey = p_partkey",
+    "tpch_q14": "SELECT round(100.0 * sum(CASE WHEN p_type LIKE '%PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS share FROM lineitem, part WHERE l_partkey = p_partkey",
     "tpch_q18": "SELECT c_name, c_custkey, o_orderkey, o_totalprice, round(sum(l_quantity), 2) AS q FROM customer, orders, lineitem WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200) AND c_custkey = o_custkey AND o_orderkey = l_orderkey GROUP BY c_name, c_custkey, o_orderkey, o_totalprice",
     "tpch_q22": "SELECT c_mktsegment, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0.00) AND NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) GROUP BY c_mktsegment",
 }

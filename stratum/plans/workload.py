@@ -37,17 +37,17 @@ WORKLOAD: dict[str, Query] = {
         "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey BETWEEN 3 AND 6 GROUP BY c_nationkey",
         {"customer": "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey BETWEEN 3 AND 6"},
     ),
-    "small_steel": Query(
-        "SELECT p_partkey, p_retailprice FROM part WHERE p_size < 6 AND p_type LIKE '%STEEL%' ORDER BY p_retailprice",
-        {"part": "SELECT p_partkey FROM part WHERE p_size < 6 AND p_type LIKE '%STEEL%'"},
+    "small_promo": Query(
+        "SELECT p_partkey, p_retailprice FROM part WHERE p_size < 6 AND p_type LIKE '%PROMO%' ORDER BY p_retailprice",
+        {"part": "SELECT p_partkey FROM part WHERE p_size < 6 AND p_type LIKE '%PROMO%'"},
     ),
     "poor_suppliers": Query(
         "SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 500",
         {"supplier": "SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 500"},
     ),
     "idle_customers": Query(
-        "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 50000)",
-        {"customer": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 50000)"},
+        "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
+        {"customer": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)"},
     ),
 }
 

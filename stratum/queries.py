@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import functools
 
-from stratum.plans import dialect, views
+from stratum.plans import core_queries, dialect, views
 
-QUERIES: dict = {name: functools.partial(lambda spark, sf_dir, text: views.run_sql(spark, sf_dir, text), text=dialect.spark_text(name)) for name in dialect.DIALECT}
-ORACLE_SQL: dict[str, str] = {name: dialect.duck_text(name) for name in dialect.DIALECT}
+
+def _sql(spark, sf_dir, text):
+    return views.run_sql(spark, sf_dir, text)
+
+
+QUERIES: dict = {name: functools.partial(_sql, text=dialect.spark_text(name)) for name in dialect.DIALECT} | core_queries.QUERIES
+ORACLE_SQL: dict[str, str] = {name: dialect.duck_text(name) for name in dialect.DIALECT} | core_queries.ORACLE_SQL
