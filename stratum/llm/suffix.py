@@ -37,8 +37,8 @@ from stratum.llm.common import arrow_map, materialize, strings, table
 WINDOW = 100
 GRAM = 32
 #: Bytes of text for each group of grams, and of cell parts that are put in order at once.
-GROUP_BYTES = 32 << 20
-ORDER_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
+ORDER_BYTES = 2 << 20
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _CELL = np.dtype([("content", "<u8"), ("tag", "<u4"), ("n", "u1"), ("lead", "u1"), ("start", "<u4"), ("doc", "<i8"), ("rid", "<i8")])
@@ -189,8 +189,10 @@ def _settled(sent: DataFrame, groups: int) -> DataFrame:
 
     def rows(parts: list[bytes], done: list[bytes]):
         got = np.concatenate([_unpacked(p) for p in parts])
+        parts.clear()
         repeat, shared = _judge(got)
         old = np.concatenate([got[repeat], *(_unpacked(d) for d in done if d)])
+        done.clear()
         for part, lead in ((old, np.full(len(old), -1)), (got[shared], got["lead"][shared].astype(np.int64))):
             for a in range(0, len(part), 50_000):
                 p = part[a : a + 50_000]
@@ -205,7 +207,6 @@ def _settled(sent: DataFrame, groups: int) -> DataFrame:
             for group, new, old in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if group != now and parts:
                     yield from rows(parts, done)
-                    parts, done = [], []
                 now = group
                 parts.append(new)
                 done.append(old)
@@ -213,7 +214,7 @@ def _settled(sent: DataFrame, groups: int) -> DataFrame:
             yield from rows(parts, done)
 
     dealt = sent.repartition(groups, "grp").sortWithinPartitions("grp")
-    return arrow_map(dealt, run, "rid long, start long, n int, lead int")
+    return arrow_map(dealt, run, "rid long, start long, n int, lead int", 32)
 
 
 def _cell_parts(texts: DataFrame) -> DataFrame:
