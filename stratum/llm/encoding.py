@@ -1,7 +1,7 @@
 """Exact and fast use of the tokenizers library over batches: each distinct unit of text is encoded once.
 
-A text is cut where ASCII white space follows anything but white space, and before a stop or comma after a letter.
-No pre-token of the byte-level file spans
+A text is cut where ASCII white space follows anything but white space, and where ASCII letters, digits and marks
+(but for apostrophes and bars) meet. No pre-token of the byte-level file spans
 such a place, its lookahead stays inside a unit, and the word file drops white space altogether; so the ids of a
 text are those of its units in order, and equal units share the library's answer. Special strings hold no white
 space and thus stand within one unit, where the library treats them by its default.
@@ -23,10 +23,13 @@ MOST_UNITS = 1_200_000
 _BATCH = 8_000
 
 
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".,;:!?"]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII letters, digits and marks; the apostrophe (contractions) and the bar (special strings) are in no class.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[[*range(48, 58)]] = 2
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'|"]] = 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _unicode_space_ends(buf: np.ndarray) -> np.ndarray:
@@ -45,9 +48,9 @@ def _unicode_space_ends(buf: np.ndarray) -> np.ndarray:
 
 def units(buf: np.ndarray, offsets: np.ndarray, keep_space: bool) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the units; without keep_space their leading ASCII white space is left out."""
-    # a stop or comma after an ASCII letter is the start of a pre-token in either file
+    kind = _CLASS[buf]
     stop = np.zeros(len(buf), bool)
-    stop[1:] = _STOP[buf[1:]] & _LETTER[buf[:-1]]
+    stop[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
     if not keep_space:
         starts, ends = tk.words(buf, offsets)
         inner = np.flatnonzero(stop)
@@ -77,6 +80,8 @@ class UnitEncoder:
         self.keep_space = pre == "ByteLevel"
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = max(special.items(), key=lambda x: x[1])
+        normalizer = self.tokenizer.normalizer
+        self.folds = normalizer is not None and not self.keep_space and normalizer.normalize_str("AZ") == "az"
         self._clear()
 
     def _clear(self) -> None:
@@ -131,6 +136,16 @@ class UnitEncoder:
         self.starts = np.concatenate([self.starts, at])[order]
         self.sizes = np.concatenate([self.sizes, sizes])[order]
 
+    def _folded(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Bytes by which units are compared: in lower case if the file folds case, but for units with a bar, which
+        may be special strings and those are told by case."""
+        if not self.folds:
+            return buf
+        out = _LOWER[buf]
+        for i in np.unique(np.searchsorted(starts, np.flatnonzero(buf == 0x7C), "right") - 1).tolist():
+            out[starts[i] : ends[i]] = buf[starts[i] : ends[i]]
+        return out
+
     def _known(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(keys), bool)
@@ -143,7 +158,7 @@ class UnitEncoder:
         starts, ends = units(buf, offsets, self.keep_space)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        hashes = tk.range_hashes(tk.BYTE_VALUES[buf], starts, ends)
+        hashes = tk.range_hashes(tk.BYTE_VALUES[self._folded(buf, starts, ends)], starts, ends)
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         new = ~self._known(keys)
         if new.any():

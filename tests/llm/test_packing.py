@@ -15,13 +15,14 @@ import pytest
 HARD = awkward() + [
     "a   b", "a  b 　 c", "x\u0085 y", "  lead", "trail  ", "a \n\n b\t\tc", "́x é ́", "don't 'll ''s 's's", "ΑΣ ΟΔΟΣ İ ŉ ǅ", "<|endoftext|>", "a <|startoftext|> <|endoftext|> b",
     "\x1c a \x1f  b", "9 99٤ ½", "end.\r\n\r\nNext", "각 각", "  a", "a᠎  b", " ​  c",
+    "<|ENDOFTEXT|> <|EndOfText|>The THE the", "abc123def 4.5e-7 (x)[y] a'b 'd'll a_b #$%the$$$ a|b||c <|endoftext|>x <|endoftext |>", "don't! can'T 's1 1's .'s ='s", "a≠ ≮b ≯",
 ]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_units_give_the_ids_of_the_library(spark, name):
     texts = [t or "" for t in HARD] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    texts += [a + g + b for a in ("a", "é", "!", "1", " ", "") for b in ("b", "'s", " ", "\n", "") for g in (" ", "  ", "\n ", "   ", "　 ", " \n")]
+    texts += [a + g + b for a in ("a", "é", "!", "1", " ", "") for b in ("b", "'s", " ", "\n", "") for g in ("", "-", "7", " ", "  ", "\n ", "   ", "　 ", " \n")]
     library = Tokenizer.from_file(vocabulary(name))
     ours = UnitEncoder(vocabulary(name))
     for _ in range(2):
