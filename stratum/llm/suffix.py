@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from stratum.llm import textkit as tk
 from stratum.llm.common import arrow_map, materialize, strings, table
@@ -334,30 +335,43 @@ def _spans(ranges: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     return start[at], end[np.append(at[1:], len(end)) - 1]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs with kept (the bytes that stay), n_bytes, n_removed and spans (removed [start, end))."""
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """The rows of docs with kept (the bytes that stay), n_bytes, n_removed and spans (removed [start, end)); or, as
+    text, the rows with their texts cut at character boundaries and n_chars following them."""
 
     def cut(batches):
         for batch in batches:
             kept, sizes, gone, spans = [], [], [], []
-            for text, ranges in zip(strings(batch.column("text")).to_pylist(), batch.column("__ranges").to_pylist(), strict=True):
-                data = text.encode()
-                starts, ends = _spans(ranges)
-                pairs = list(zip(starts.tolist(), ends.tolist(), strict=True))
+            texts = batch.column("text").to_pylist()
+            for text, ranges in zip(texts, batch.column("__ranges").to_pylist(), strict=True):
+                if as_text and not ranges:
+                    kept.append(text)
+                    continue
+                data = (text or "").encode()
+                pairs = list(zip(*(x.tolist() for x in _spans(ranges)), strict=True))
                 last, parts = 0, []
                 for a, b in pairs:
+                    if as_text:
+                        a, b = _whole_characters(data, a, b)
                     parts.append(data[last:a])
                     last = b
                 parts.append(data[last:])
-                kept.append(b"".join(parts))
+                kept.append(b"".join(parts).decode() if as_text else b"".join(parts))
                 sizes.append(len(data))
                 gone.append(len(data) - len(kept[-1]))
                 spans.append([{"start": a, "end": b} for a, b in pairs])
-            names = [c for c in batch.schema.names if c not in ("__rid", "__doc", "__ranges")]
+            if as_text:
+                new = {"text": pa.array(kept, pa.string())}
+                if "n_chars" in columns:
+                    counts = zip(batch.column("n_chars").to_pylist(), kept, batch.column("__ranges").to_pylist(), strict=True)
+                    new["n_chars"] = pa.array([len(t) if r and t is not None else n for n, t, r in counts], batch.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], names=columns)
+                continue
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            arrays = [batch.column(c) for c in names] + [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "kept", "n_bytes", "n_removed", "spans"])
+            arrays = [batch.column(c) for c in columns] + [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "kept", "n_bytes", "n_removed", "spans"])
 
+    columns = docs.columns
     docs = _repeatable(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(4, -(-total // GROUP_BYTES))
@@ -372,35 +386,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = settled.where("lead < 0").select("rid", "start", "n").unionByName(_compared(parts))
     ranges = found.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("start", "n")).alias("__ranges"))
     joined = texts.join(ranges, "__rid", "left").select(*whole, "__ranges")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return arrow_map(joined, cut, fields + ", kept binary, n_bytes long, n_removed long, spans array<struct<start:long, end:long>>", 256)
+    if as_text:
+        return arrow_map(joined, cut, docs.schema, 256)
+    schema = StructType([*docs.schema.fields]).add("kept", "binary").add("n_bytes", "long").add("n_removed", "long")
+    return arrow_map(joined, cut, schema.add("spans", ArrayType(StructType().add("start", "long").add("end", "long"))), 256)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeated strings cut from their texts, at character boundaries; n_chars follows the text."""
+def _whole_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
+    """The part of [a, b) that holds whole UTF-8 characters."""
+    while a < b and data[a] & 0xC0 == 0x80:
+        a += 1
+    while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
 
-    def whole(batches):
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                if text is None or not spans:
-                    out.append(text)
-                    continue
-                data, last, parts = text.encode(), 0, []
-                for s in spans:
-                    a, b = s["start"], s["end"]
-                    while a < b and data[a] & 0xC0 == 0x80:
-                        a += 1
-                    while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
-                        b -= 1
-                    parts.append(data[last:a])
-                    last = b
-                out.append((b"".join(parts) + data[last:]).decode())
-            columns = [pa.array(out, pa.string()) if c == "text" else pa.array([None if t is None else len(t) for t in out], pa.int64()) if c == "n_chars" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = docs.columns
-    return arrow_map(remove_repeats(docs).select(*names, "spans"), whole, docs.schema, 256)
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeated strings cut from their texts; one Python stage per task, as for the bytes."""
+    return remove_repeats(docs, as_text=True)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,7 +201,7 @@ def _runs(recipes: DataFrame) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_first(), F.col("root")]
     n = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = recipes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    schema = StructType(recipes.schema.fields).add("run", "long").add("local_start", "long").add("run_root", "binary")
+    schema = StructType([*recipes.schema.fields]).add("run", "long").add("local_start", "long").add("run_root", "binary")
     return arrow_map(ranged, run, schema, 4096)
 
 
