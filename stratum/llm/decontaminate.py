@@ -36,21 +36,25 @@ _NAME, _NUMBER, _UNIT = "\ue000", "\ue001", "\ue002"
 _PRIVATE = "[\ue000-\ue002]"
 _NUMBERS = r"\p{N}+(?:[.,]\p{N}+)*"
 _MEASURES = rf"{_NUMBERS}\s?(?:(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])|[%€$£])"
-#: A capitalised word after a word, a number, a comma or a semicolon.
-_NAMES = rf"(?<=[\p{{L}}\p{{M}},;{_NUMBER}{_UNIT}]\s{{1,3}})\p{{Lu}}[\p{{L}}\p{{M}}]*"
+#: A capitalised word after a word, a number, a comma or a semicolon; the capital is looked for first, as it is rarer.
+_NAMES = rf"(?=\p{{Lu}})(?<=[\p{{L}}\p{{M}},;{_NUMBER}{_UNIT}]\s{{1,3}})\p{{Lu}}[\p{{L}}\p{{M}}]*"
 _RAW = rf"(?i){_MEASURES}|{_NUMBERS}|[\p{{L}}\p{{M}}]+"
 _CANON = rf"{_NUMBER}{_UNIT}|[{_NAME}{_NUMBER}]|[\p{{L}}\p{{M}}]+"
 
 
 def _clean(text: Column) -> Column:
-    return F.regexp_replace(text, F.lit(_PRIVATE), F.lit(" "))
+    own = F.contains(text, F.lit(_NAME)) | F.contains(text, F.lit(_NUMBER)) | F.contains(text, F.lit(_UNIT))
+    return F.when(own, F.regexp_replace(text, F.lit(_PRIVATE), F.lit(" "))).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
     """Canonical words: folded words and placeholders."""
-    measures = F.regexp_replace(_clean(text), F.lit("(?i)" + _MEASURES), F.lit(f" {_NUMBER}{_UNIT} "))
+    clean = _clean(text)
+    measures = F.regexp_replace(clean, F.lit("(?i)" + _MEASURES), F.lit(f" {_NUMBER}{_UNIT} "))
     numbers = F.regexp_replace(measures, F.lit(_NUMBERS), F.lit(f" {_NUMBER} "))
-    names = F.regexp_replace(numbers, F.lit(_NAMES), F.lit(_NAME))
+    # most texts hold no digit: one look for one is cheaper than two rewritings
+    plain = F.when(clean.rlike(r"\p{N}"), numbers).otherwise(clean)
+    names = F.regexp_replace(plain, F.lit(_NAMES), F.lit(_NAME))
     return F.regexp_extract_all(F.lower(names), F.lit(_CANON), F.lit(0))
 
 
