@@ -150,3 +150,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{HOSTILE}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)")
     return read_back(format_chats(rows.unionByName(extra)))
+
+
+_SITES_SQL = r"<\\*(?:/?s>|</?SYS>>)|\[\\*/?(?:INST\]|ROLE[ \]])"
+OP10_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}'),
+s AS (SELECT *, len(regexp_extract_all(t, '{_SITES_SQL}')) AS sites FROM c),
+m AS (SELECT *, length(t) + sites + CASE r WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+      ELSE 14 + length(replace(replace(r, '%', '%25'), ']', '%5D')) END AS chars FROM s)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+       CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, '' ORDER BY turn, r, t)) AS loss_sha256,
+       CAST(sum(chars) + count(*) - 1 AS BIGINT) AS formatted_chars,
+       CAST(sum(CASE WHEN sites > 0 THEN 1 ELSE 0 END) AS INTEGER) AS n_escaped
+FROM m GROUP BY conv_id
+"""

@@ -211,3 +211,32 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts, _ = judge(table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+_FOLDED_SQL = "regexp_replace(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g')"
+OP7_SQL = rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, source, text) AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+l AS (SELECT rid, generate_subscripts(ls, 1) AS ln, unnest(ls) AS line FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM d) x),
+lw AS (SELECT rid, ln, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+w AS (SELECT rid, ln, generate_subscripts(ws, 1) AS k, unnest(ws) AS word FROM lw WHERE len(ws) > 0),
+p AS (SELECT rid, ln, k, word, row_number() OVER (PARTITION BY rid ORDER BY ln, k) AS pos FROM w),
+lines AS (SELECT rid, ln, string_agg({_FOLDED_SQL}, ' ' ORDER BY k) AS folded, count(*) AS n FROM w GROUP BY rid, ln),
+base AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY rid),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup FROM lw WHERE len(ws) > 0 GROUP BY rid),
+g AS (SELECT rid, pos, gram FROM (SELECT rid, pos, word || chr(10) || lead(word, 1) OVER w || chr(10) || lead(word, 2) OVER w || chr(10) || lead(word, 3) OVER w || chr(10) || lead(word, 4) OVER w
+      || chr(10) || lead(word, 5) OVER w || chr(10) || lead(word, 6) OVER w || chr(10) || lead(word, 7) OVER w AS gram FROM p WINDOW w AS (PARTITION BY rid ORDER BY pos)) q WHERE gram IS NOT NULL),
+twice AS (SELECT rid, gram FROM g GROUP BY rid, gram HAVING count(*) > 1),
+spots AS (SELECT g.rid, g.pos FROM g JOIN twice t ON t.rid = g.rid AND t.gram = g.gram),
+covered AS (SELECT DISTINCT s.rid, s.pos + o.o AS pos FROM spots s CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS o) o),
+rep AS (SELECT rid, count(*) AS n_repeat FROM covered GROUP BY rid),
+hosts AS (SELECT coalesce(source, '-null-') AS host, count(DISTINCT text) AS docs FROM d GROUP BY 1),
+held AS (SELECT coalesce(d.source, '-null-') AS host, folded, count(DISTINCT d.text) AS docs FROM lines JOIN d ON d.rid = lines.rid GROUP BY 1, 2),
+common AS (SELECT held.host, folded FROM held JOIN hosts ON hosts.host = held.host WHERE held.docs > {LINE_FLOOR} AND held.docs > {LINE_SHARE} * hosts.docs),
+gone AS (SELECT lines.rid, sum(lines.n) AS removed FROM lines JOIN d ON d.rid = lines.rid JOIN common c ON c.host = coalesce(d.source, '-null-') AND c.folded = lines.folded GROUP BY lines.rid),
+o AS (SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
+      FROM d LEFT JOIN base ON base.rid = d.rid LEFT JOIN dup ON dup.rid = d.rid LEFT JOIN rep ON rep.rid = d.rid LEFT JOIN gone ON gone.rid = d.rid)
+SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AND NOT (removed_words > {DEPLETED_SHARE} * n_words) AS kept
+FROM o
+"""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from stratum.llm.chat import op10_chat_format
+from stratum.llm.chat import OP10_SQL, op10_chat_format
 from stratum.llm.decontaminate import op6_decontaminate
 from stratum.llm.neardup import op8_near_duplicates
 from stratum.llm.packing import op2_packing
-from stratum.llm.quality import op7_quality_rules
+from stratum.llm.quality import OP7_SQL, op7_quality_rules
 from stratum.llm.suffix import op1_suffix_dedup
 from stratum.llm.tokenstore import op9_token_store
 from stratum.llm.toxicity import op4_toxicity
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op7_quality_rules": OP7_SQL, "op10_chat_format": OP10_SQL}
