@@ -7,10 +7,10 @@ copies cost nothing beyond one narrow row each.
 
 No bucket's pairs are listed. First every member of a bucket is compared with the bucket's most central member (the
 one with most bucket mates over all bands). Then, in buckets that still hold more than one class, members outside
-the central one's class are held in blocks, and the bucket's members stream past them within a task: a pair is
+the central one's class are held in blocks, and the bucket's members stream past them, a part of them in each task: a pair is
 skipped if it is in one class by now, if an earlier band has it too, or if the registers agree so rarely that it
 cannot reach the threshold (LEAST_AGREE, 3.7 standard deviations below it); the rest are computed. Only links leave
-the task. Blocks and salted stars bound a task's memory and deal a hot group over many tasks.
+the task. Blocks, parts and salted stars bound what a task group holds and deal a hot group over many tasks.
 
 Defined cases: words are runs other than ASCII white space in ASCII lower case; a text of one to four words is one
 shingle; a null text, or one without words, stays alone; repeated rows are in one class; a null doc_id may be a
@@ -38,6 +38,8 @@ LEAST_AGREE = 0.65
 #: Members of one star, and held members of one block, per task group.
 STAR = 1000
 BLOCK = 256
+#: Members of a bucket that stream past one block within a task group.
+PASSING = 1024
 
 
 def _key(text: Column) -> Column:
@@ -144,17 +146,18 @@ def _star_links(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFram
 def _block_links(members: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """Links within buckets of several classes.
 
-    members: band, h, rid, label, outside (not in the class of the bucket's center), blocks (of outside members).
+    members: band, h, rid, label, outside (not in the class of the bucket's center), blocks (of outside
+    members) and parts (of all) of its bucket.
     """
 
     def run(batches):
         now, held, parent, grid = None, [], {}, None
         for batch in batches:
             found = []
-            columns = [batch.column(i).to_pylist() for i in range(9)]
-            for band, h, block, turn, rid, label, hashes, weights, registers in zip(*columns, strict=True):
-                if (band, h, block) != now:
-                    now, held, parent, grid = (band, h, block), [], {}, None
+            columns = [batch.column(i).to_pylist() for i in range(10)]
+            for band, h, block, part, turn, rid, label, hashes, weights, registers in zip(*columns, strict=True):
+                if (band, h, block, part) != now:
+                    now, held, parent, grid = (band, h, block, part), [], {}, None
                 regs = np.frombuffer(registers, "<u2")
                 mine = _set(hashes, weights)
                 if turn == 0:
@@ -178,12 +181,19 @@ def _block_links(members: DataFrame, rows: DataFrame, threshold: float) -> DataF
             if found:
                 yield _links_of(found)
 
-    block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    holds = members.where("outside").select("band", "h", block.alias("block"), F.lit(0).alias("turn"), "rid", "label")
-    passing = members.select("band", "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.when(F.col("outside"), 2).otherwise(1).alias("turn"), "rid", "label")
+    def dealt(n: str) -> Column:
+        return F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    # every block meets every part of its bucket in a group of its own
+    holds = members.where("outside").select("band", "h", dealt("blocks").alias("block"), each("parts").alias("part"), F.lit(0).alias("turn"), "rid", "label")
+    passing = members.select("band", "h", each("blocks").alias("block"), dealt("parts").alias("part"), F.when(F.col("outside"), 2).otherwise(1).alias("turn"), "rid", "label")
     full = holds.unionByName(passing).join(rows, "rid")
-    full = full.repartition("band", "h", "block").sortWithinPartitions("band", "h", "block", "turn", "rid")
-    return arrow_map(full.select("band", "h", "block", "turn", "rid", "label", "hashes", "weights", "registers"), run, _LINKS, 256)
+    group = ["band", "h", "block", "part"]
+    full = full.repartition(*group).sortWithinPartitions(*group, "turn", "rid")
+    return arrow_map(full.select(*group, "turn", "rid", "label", "hashes", "weights", "registers"), run, _LINKS, 256)
 
 
 def _root(parent: dict, x: int) -> int:
@@ -219,8 +229,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = sh.WIDTH
     named = centered.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     heads = named.where("rid = center").select("band", "h", F.col("label").alias("head"))
     named = named.join(heads, ["band", "h"]).withColumn("outside", F.col("label") != F.col("head"))
-    open_ = named.where("outside").groupBy("band", "h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    active = materialize(named.join(open_, ["band", "h"]).select("band", "h", "rid", "label", "outside", "blocks"), "neardup-active")
+    held = F.count(F.when(F.col("outside"), 1))
+    open_ = named.groupBy("band", "h").agg(F.ceil(held / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / PASSING).cast("int").alias("parts")).where("blocks > 0")
+    active = materialize(named.join(open_, ["band", "h"]).select("band", "h", "rid", "label", "outside", "blocks", "parts"), "neardup-active")
     full = rows.join(drawn.select("rid", "registers"), "rid")
     more = materialize(_block_links(active, full, threshold), "neardup-blocks")
     labels = components(materialize(links.unionByName(more), "neardup-links"))

@@ -75,6 +75,7 @@ def variants(n, rates, seed):
 
 def test_a_spread_group_loses_no_link(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 16)
+    monkeypatch.setattr(nd, "PASSING", 24)
     monkeypatch.setattr(nd, "STAR", 20)
     texts = variants(120, [0.0, 0.01, 0.02, 0.03, 0.04, 0.06], 1) + variants(40, [0.02, 0.03], 2)
     rng = random.Random(9)
