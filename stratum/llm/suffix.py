@@ -11,7 +11,7 @@ maximal run of strings with one anchor. So equal strings lie at the same place i
    are repeats as a whole. Cells whose gram no other content has need no more work;
 2. of the others, the earliest of each content is read from its text, cut into the part whose strings reach
    further left and the part whose strings reach further right of the anchor, and dealt out by gram and neighbouring
-   bytes, so that even a very common gram is spread. There the strings are put in suffix order (their positions
+   bytes, so that a common gram is spread (one with more than HOT contents is settled by aggregation). There the strings are put in suffix order (their positions
    sorted by content, capped at WINDOW bytes), and a string has an earlier match, i.e. its longest previous factor
    is WINDOW or more, if the previous or the next smaller position in suffix order lies within the same run of
    common prefixes of WINDOW or more.
@@ -40,6 +40,9 @@ GRAM = 32
 #: Bytes of text for each group of grams, and of cell parts that are put in order at once.
 GROUP_BYTES = 8 << 20
 ORDER_BYTES = 2 << 20
+#: Contents that may share a gram before its strings are compared one by one, by aggregation.
+HOT = 20_000
+_HOT_LEAD = 128
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _CELL = np.dtype([("content", "<u8"), ("tag", "<u4"), ("n", "u1"), ("lead", "u1"), ("start", "<u4"), ("doc", "<i8"), ("rid", "<i8")])
@@ -173,28 +176,31 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out
 
 
-def _judge(got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which cells of a group repeat an earlier content, and which earliest cells share a gram with another content."""
+def _judge(got: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which cells of a group repeat an earlier content, which earliest cells share a gram with another content, and
+    which of these with more than `most` contents."""
     order = np.lexsort((got["start"], got["rid"], got["doc"], got["content"]))
     repeat = np.zeros(len(got), bool)
     repeat[order[1:]] = got["content"][order[1:]] == got["content"][order[:-1]]
     first = np.flatnonzero(~repeat)
     _, which, count = np.unique(got["tag"][first], return_inverse=True, return_counts=True)
-    shared = np.zeros(len(got), bool)
+    shared, hot = np.zeros(len(got), bool), np.zeros(len(got), bool)
     shared[first[count[which] > 1]] = True
-    return repeat, shared
+    hot[first[count[which] > most]] = True
+    return repeat, shared, hot
 
 
 def _settled(sent: DataFrame, groups: int) -> DataFrame:
-    """(rid, start, n, lead): repeats with lead -1, and cells still to be compared with their lead."""
+    """(rid, start, n, lead): repeats with lead -1, and cells still to be compared with their lead, more by _HOT_LEAD
+    where the gram is hot."""
 
     def rows(parts: list[bytes], done: list[bytes]):
         got = np.concatenate([_unpacked(p) for p in parts])
         parts.clear()
-        repeat, shared = _judge(got)
+        repeat, shared, hot = _judge(got, HOT)
         old = np.concatenate([got[repeat], *(_unpacked(d) for d in done if d)])
         done.clear()
-        for part, lead in ((old, np.full(len(old), -1)), (got[shared], got["lead"][shared].astype(np.int64))):
+        for part, lead in ((old, np.full(len(old), -1)), (got[shared], got["lead"][shared] + _HOT_LEAD * hot[shared].astype(np.int64))):
             for a in range(0, len(part), 50_000):
                 p = part[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays(
@@ -247,6 +253,28 @@ def _cell_parts(texts: DataFrame) -> DataFrame:
     return arrow_map(texts, run, "place long, rid long, doc long, start long, n int, data binary", 256)
 
 
+def _hot_matches(texts: DataFrame) -> DataFrame:
+    """(rid, start, n): strings with an earlier match among the cells of hot grams.
+
+    A gram that very many contents share (the edge of a passage that a third of all documents hold) is not one
+    task's work: its strings are rows, the earliest of each is found by an aggregation that combines before its
+    shuffle, and the others are told by a join, whose large keys adaptive execution splits.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for rid, doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("__rid", "__doc", "text", "__cells")), strict=True):
+                data = text.encode()
+                at = [p for c in wanted for p in range(c["start"], c["start"] + c["n"])]
+                columns = [pa.array([rid] * len(at), pa.int64()), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([data[p : p + WINDOW] for p in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc", "start", "data"])
+
+    rows = arrow_map(texts, run, "rid long, doc long, start long, data binary", 256)
+    place = F.struct("doc", "rid", "start")
+    first = rows.groupBy("data").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    return rows.join(first, "data").where(place > F.col("first")).select("rid", "start", F.lit(1).alias("n"))
+
+
 def earlier_matches(data: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Whether the window-byte string at each position of `at` (ascending) also stands at an earlier one of them.
 
@@ -381,9 +409,14 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     # both joins take the same columns of the same exchange, so the texts are dealt out once
     texts = numbered.repartition("__rid")
     whole = texts.columns
-    asked = settled.where("lead >= 0").groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("start", "n", "lead")).alias("__cells"))
-    parts = _cell_parts(texts.join(asked, "__rid").select(*whole, "__cells"))
-    found = settled.where("lead < 0").select("rid", "start", "n").unionByName(_compared(parts))
+
+    def asked(which: str) -> DataFrame:
+        cells_ = settled.where(which).groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("start", "n", "lead")).alias("__cells"))
+        return texts.join(cells_, "__rid").select(*whole, "__cells")
+
+    found = settled.where("lead < 0").select("rid", "start", "n").unionByName(_compared(_cell_parts(asked(f"lead >= 0 AND lead < {_HOT_LEAD}"))))
+    if not settled.where(f"lead >= {_HOT_LEAD}").isEmpty():
+        found = found.unionByName(_hot_matches(asked(f"lead >= {_HOT_LEAD}")))
     ranges = found.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("start", "n")).alias("__ranges"))
     joined = texts.join(ranges, "__rid", "left").select(*whole, "__ranges")
     if as_text:

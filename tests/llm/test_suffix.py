@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from helpers import SF, awkward, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,7 +39,9 @@ def test_whole_table(spark):
     assert sum(w[2] for w in want) > 0 and out == want
 
 
-def test_planted_passages_and_edges(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [20_000, 8])
+def test_planted_passages_and_edges(spark, monkeypatch, hot):
+    monkeypatch.setattr(sx, "HOT", hot)
     monkeypatch.setattr(sx, "GROUP_BYTES", 20_000)
     monkeypatch.setattr(sx, "ORDER_BYTES", 2_000)
     rng = random.Random(2)
