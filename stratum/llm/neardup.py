@@ -135,8 +135,8 @@ def _star_links(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFram
             if found:
                 yield _links_of(found)
 
-    sizes = pairs.groupBy("center").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-    dealt = pairs.join(sizes, "center").select("center", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("turn"), "rid")
+    sizes = materialize(pairs.groupBy("center").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")), "neardup-sizes")
+    dealt = pairs.join(small(sizes, sizes.count(), 24), "center").select("center", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("turn"), "rid")
     heads = dealt.select("center", "salt").distinct().select("center", "salt", F.lit(0).alias("turn"), F.col("center").alias("rid"))
     full = dealt.unionByName(heads).join(rows, "rid")
     full = full.repartition("center", "salt").sortWithinPartitions("center", "salt", "turn", "rid")
