@@ -33,6 +33,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/stratum/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Deletes everything that operators have written below the shared folder; for use when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/stratum")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession

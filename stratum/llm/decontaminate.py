@@ -22,7 +22,7 @@ from stratum.llm.common import materialize, small, table
 WINDOW = 5
 #: Ordinary words that a benchmark window needs to be looked for.
 LITERALS = 3
-COVERAGE = 0.5
+COVERAGE = 0.4
 
 #: Units of measure and money that may follow a number.
 UNITS = (

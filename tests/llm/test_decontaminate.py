@@ -33,7 +33,7 @@ def brute(docs, bench):
         for k in range(len(w) - 4):
             for i in index.get(tuple(w[k : k + 5]), ()):
                 hits[i].add(tuple(w[k : k + 5]))
-        out |= {(d, i) for i, g in hits.items() if len(g) >= 0.5 * size[i]}
+        out |= {(d, i) for i, g in hits.items() if len(g) >= dc.COVERAGE * size[i]}
     return out
 
 
@@ -55,6 +55,13 @@ def test_reparameterised_questions(spark):
     assert 2 not in rows
 
 
+def test_light_edits_are_caught_and_fragments_left(spark):
+    words = [f"plain{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    edited = [w if i % 12 else "other" for i, w in enumerate(words)]
+    texts = [" ".join(edited), " ".join(words[:15]) + " and nothing else of it", "start " + " ".join(words) + " end"]
+    assert found(dc.contaminated(documents(spark, texts), items(spark, [" ".join(words)]))) == {(0, 0), (2, 0)}
+
+
 def test_raw_and_canonical_words_line_up(spark):
     texts = [t for t in awkward() if t is not None] + [QUESTION, "In 5 Km or 5km, 3.5% of abc123def at 1,000 $ John", "of İstanbul, DR Who 7 H", "x 12 KG John 5 m Mary; Ann"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(dc.canonical(F.col("t"))).alias("a"), F.size(dc.raw_words(F.col("t"))).alias("b"))
