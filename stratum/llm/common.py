@@ -23,7 +23,9 @@ def work_dir(spark: SparkSession) -> str:
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return base.rstrip("/")
+        # a path without a scheme is the cluster's default file system, for Python readers and writers too
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="stratum-")
     return _own_dir
