@@ -29,7 +29,7 @@ from stratum.llm import textkit as tk
 from stratum.llm.common import arrow_map, table
 
 FOLDS = 5
-MOST_LABELLED = 4000
+MOST_LABELLED = 8000
 MOST_BYTES = 64 << 10
 HASH_BITS = 28
 LEAST_DOCS = 3
