@@ -726,8 +726,8 @@ QUERIES["forecast_ensemble"] = _forecast({"linear": 0.5, "dlinear": 0.5})
 
 
 def _hourly(spark: SparkSession, sf: str) -> DataFrame:
-    """(template_id, t, rate): events of the first users by hour of the day."""
-    events = table(spark, sf, "events").where("user_id < 24")
+    """(template_id, t, rate): events of every user by hour of the day."""
+    events = table(spark, sf, "events").select("user_id", "ts")
     counted = events.groupBy(F.col("user_id").alias("template_id"), F.hour("ts").cast("long").alias("t")).agg(F.count("*").alias("n"))
     grid = events.select(F.col("user_id").alias("template_id")).distinct().join(arrival.steps(spark, 24), how="cross")
     return grid.join(counted, ["template_id", "t"], "left").select("template_id", "t", F.coalesce("n", F.lit(0)).cast("double").alias("rate"))
@@ -735,15 +735,15 @@ def _hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("dtw_pairs")
 def _dtw(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.neighbours(cluster.features(_hourly(spark, sf)), 10.0)
+    return cluster.neighbours(cluster.features(_hourly(spark, sf)), 1.2)
 
 
 @_query("dbscan_clusters")
 def _dbscan(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.cluster(cluster.features(_hourly(spark, sf)), 0.6)
+    return cluster.cluster(cluster.features(_hourly(spark, sf)), 1.2)
 
 
-_HOURLY_SQL = "WITH u AS (SELECT DISTINCT user_id FROM events WHERE user_id < 24), s AS (SELECT u.user_id AS template_id, r.t, CAST(count(e.event_id) AS DOUBLE) AS rate FROM u CROSS JOIN range(24) r(t) LEFT JOIN events e ON e.user_id = u.user_id AND EXTRACT(HOUR FROM e.ts) = r.t GROUP BY u.user_id, r.t)"
+_HOURLY_SQL = "WITH u AS (SELECT DISTINCT user_id FROM events), s AS (SELECT u.user_id AS template_id, r.t, CAST(count(e.event_id) AS DOUBLE) AS rate FROM u CROSS JOIN range(24) r(t) LEFT JOIN events e ON e.user_id = u.user_id AND EXTRACT(HOUR FROM e.ts) = r.t GROUP BY u.user_id, r.t)"
 
 
 def _assigned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
