@@ -36,7 +36,7 @@ ROWS = 4
 #: Share of equal registers below which a pair is not computed.
 LEAST_AGREE = 0.65
 #: Members of one star, and held members of one block, per task group.
-STAR = 1000
+STAR = 250
 BLOCK = 256
 #: Members of a bucket that stream past one block within a task group.
 PASSING = 1024
