@@ -39,7 +39,7 @@ LEAST_AGREE = 0.65
 STAR = 250
 BLOCK = 256
 #: Members of a bucket that stream past one block within a task group.
-PASSING = 1024
+PASSING = 256
 
 
 def _key(text: Column) -> Column:
