@@ -23,6 +23,9 @@ from stratum.llm.common import arrow_map, materialize, small, table
 #: A line is removed on a host if more than this share of its documents, and more than LINE_FLOOR, hold it.
 LINE_SHARE = 0.05
 LINE_FLOOR = 20
+#: In the pipeline a line also goes on a host if more distinct documents than this hold it, however many the host has.
+#: Published line filters go as low as 6 in 30 million documents; OP7_SQL, and so the query, has no such bound.
+LINE_MOST = 100
 #: A document is depleted if more than this share of its words stands in removed lines.
 DEPLETED_SHARE = 0.7
 MIN_WORDS = 20
@@ -120,8 +123,9 @@ def profile(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, f"doc_id long, host string, key long, {_MEASURES}, text_hash long, line_hashes array<long>, line_words array<long>")
 
 
-def frequent_lines(profiled: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR) -> DataFrame:
-    """(host, line) of the lines that stand in too many distinct documents of their host.
+def frequent_lines(profiled: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR, most: int | None = None) -> DataFrame:
+    """(host, line) of the lines that stand in too many distinct documents of their host: more than `floor` and the
+    share, or more than `most` if that is given.
 
     Exact copies on a host are counted once: the first of each text is found on narrow rows, and only its lines
     are exploded. Counts are combined before each shuffle, so a hot host or line sends one row per task.
@@ -131,15 +135,16 @@ def frequent_lines(profiled: DataFrame, share: float = LINE_SHARE, floor: int =
     hosts = firsts.groupBy("host").agg(F.count("*").alias("host_docs"))
     one = profiled.select("rid", "host", "line_hashes").join(firsts.select("rid"), "rid", "left_semi")
     counts = one.select("host", F.explode("line_hashes").alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"))
-    counts = counts.where(F.col("docs") > floor)
+    counts = counts.where(F.col("docs") > (floor if most is None else min(floor, most)))
     joined = counts.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-    return joined.where(F.col("docs") > share * F.col("host_docs")).select("host", "line", "docs", "host_docs")
+    often = (F.col("docs") > floor) & (F.col("docs") > share * F.col("host_docs"))
+    return joined.where(often if most is None else often | (F.col("docs") > most)).select("host", "line", "docs", "host_docs")
 
 
-def judge(docs: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR, depleted: float = DEPLETED_SHARE) -> tuple[DataFrame, DataFrame]:
+def judge(docs: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR, depleted: float = DEPLETED_SHARE, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(verdicts, removed lines): a row for each document row, and (doc_id, host, lines) where lines are removed."""
     profiled = materialize(profile(docs), "quality-profile").withColumn("rid", F.monotonically_increasing_id())
-    common = materialize(frequent_lines(profiled, share, floor), "quality-lines")
+    common = materialize(frequent_lines(profiled, share, floor, most), "quality-lines")
     n = common.count()
     held = profiled.select("rid", "doc_id", F.col("host").alias("h"), F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x"))
     held = held.select("rid", "doc_id", "h", F.col("x.line_hashes").alias("key"), F.col("x.line_words").alias("w"))
@@ -199,7 +204,7 @@ def strip_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, without the lines that they remove."""
-    verdicts, removed = judge(docs)
+    verdicts, removed = judge(docs, most=LINE_MOST)
     bad = verdicts.where("not kept").select(F.col("doc_id").alias("__doc"), F.col("host").alias("__host"), F.col("key").alias("__key"))
     bad = materialize(bad.distinct(), "quality-rejected")
     side = small(bad, bad.count(), 64)

@@ -90,3 +90,13 @@ def test_awkward_rows_and_extra_columns(spark):
     got = got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert rows(got) == verdicts(plain, 0.1, 1, 0.5)
     assert quality.judge(docs.limit(0))[0].count() == 0
+
+
+def test_large_hosts_lose_lines_of_many_documents(spark):
+    n = quality.LINE_MOST + 5
+    own = [" ".join(name(i, j) for j in range(30)) + f" w{'x' * (i % 60)}y{'z' * (i // 60)}" for i in range(24 * n)]
+    texts = [t + "\nShared by a small part of a large host" * (i < n) + "\nShared by fewer still" * (i < quality.LINE_MOST) for i, t in enumerate(own)]
+    left = {r.doc_id: r.text for r in quality.keep_good(documents(spark, texts)).collect()}
+    assert len(left) == len(texts) and left[n - 1] == own[n - 1] and left[0] == own[0] + "\nShared by fewer still"
+    # the query keeps to its SQL
+    assert quality.judge(documents(spark, texts))[1].count() == 0
