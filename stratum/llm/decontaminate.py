@@ -3,8 +3,10 @@
 Numbers, units after numbers and capitalised words inside sentences become typed placeholders; the other words are
 folded to lower case. Windows of WINDOW canonical words are hashed and joined with those of the benchmark, so a
 question whose figures or names were changed still matches. Where windows of a document and an item line up, the
-values in their slots must correspond: a value of the item may stand for one value only. A document is contaminated
-by an item if consistent windows cover at least COVERAGE of the item's.
+values in their slots must correspond: a value of the item may stand for one value only. Where it meets several, the
+windows that hold another than the commonest are dropped; without a commonest one the alignment does not count. A
+document is contaminated by an item if consistent windows cover at least COVERAGE of the item's, or if windows whose raw
+words equal the item's, of any alignment, cover at least VERBATIM of them.
 
 Defined cases: a null text is an empty one; an item with fewer than WINDOW words, or whose windows hold fewer than
 LITERALS ordinary words each, matches nothing; repeated rows (same id and text) count as one document, rows that
@@ -23,6 +25,9 @@ WINDOW = 5
 #: Ordinary words that a benchmark window needs to be looked for.
 LITERALS = 3
 COVERAGE = 0.4
+#: Share of windows equal word for word that tells a leak though values conflict: above that of the question with two
+#: of its names edited in one place each, which test_reparameterised_questions defines as no leak.
+VERBATIM = 0.8
 
 #: Units of measure and money that may follow a number.
 UNITS = (
@@ -98,6 +103,25 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
 
 
+def _pair(spot: Column) -> Column:
+    return F.struct(spot["i"].alias("i"), spot["d"].alias("d"))
+
+
+def _commonest(windows: Column, spots: Column, pairs: Column) -> Column:
+    """The windows of an alignment that hold, of each item value, only the document value that it meets most often;
+    none if an item value has no such one."""
+    counted = F.transform(pairs, lambda v: F.struct(v["i"].alias("i"), v["d"].alias("d"), F.size(F.filter(spots, lambda s: (s["i"] == v["i"]) & (s["d"] == v["d"]))).alias("n")))
+
+    def kept(c: Column) -> Column:
+        beaten = lambda v, least: F.exists(c, lambda o: (o["i"] == v["i"]) & (o["d"] != v["d"]) & (o["n"] >= v["n"] + least))
+        lost = F.transform(F.filter(c, lambda v: beaten(v, 1)), _pair)
+        tied = F.exists(c, lambda v: ~beaten(v, 1) & beaten(v, 0))
+        clear = F.filter(windows, lambda w: ~F.exists(w["values"], lambda v: F.array_contains(lost, _pair(v))))
+        return F.filter(clear, lambda w: ~tied)
+
+    return _let(counted, kept)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, key, item_id, n_windows, n_matched, coverage, n_slots, n_changed) for each document and item that leaked into it.
 
@@ -123,19 +147,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     wanted = small(pairs.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("item_id").alias("i"), F.col("item").alias("t")), m, 48)
     on = aligned["doc_id"].eqNullSafe(wanted["d"]) & (aligned["key"] == wanted["k"]) & aligned["item_id"].eqNullSafe(wanted["i"]) & (aligned["item"] == wanted["t"])
     aligned = aligned.join(wanted, on, "left_semi")
-    zipped = F.filter(F.arrays_zip("slots", "item_raw", "doc_raw"), lambda x: x["slots"])
-    aligned = aligned.withColumn("values", F.transform(zipped, lambda x: F.struct(F.lower(x["item_raw"]).alias("i"), F.lower(x["doc_raw"]).alias("d"))))
+    zipped = F.filter(F.arrays_zip("slots", "item_raw", "doc_raw", F.sequence(F.col("q"), F.col("q") + WINDOW - 1).alias("at")), lambda x: x["slots"])
+    values = F.transform(zipped, lambda x: F.struct(F.lower(x["item_raw"]).alias("i"), F.lower(x["doc_raw"]).alias("d"), x["at"].alias("at")))
+    same = F.transform("item_raw", lambda w: F.lower(w)) == F.transform("doc_raw", lambda w: F.lower(w))
     # one alignment is one distance between positions, so an item's word meets one word of the document there
     lined = aligned.groupBy("doc_id", "key", "item_id", "item", "n", (F.col("p") - F.col("q")).alias("shift")).agg(
-        F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values")
+        F.collect_list(F.struct("hash", same.alias("same"), values.alias("values"))).alias("windows")
     )
-    lined = lined.where(F.size(F.array_distinct(F.transform("values", lambda v: v["i"]))) == F.size("values"))
+    lined = lined.withColumn("spots", F.array_distinct(F.flatten(F.col("windows.values"))))
+    lined = lined.withColumn("pairs", F.array_distinct(F.transform("spots", _pair)))
+    clash = F.size(F.array_distinct(F.col("pairs.i"))) != F.size("pairs")
+    lined = lined.withColumn("kept", F.when(clash, _commonest(F.col("windows"), F.col("spots"), F.col("pairs"))).otherwise(F.col("windows")))
+    lined = lined.withColumn("told", F.array_union("kept", F.filter("windows", lambda w: w["same"])))
+    lined = lined.withColumn("pairs", F.array_distinct(F.transform(F.flatten(F.col("told.values")), _pair)))
+
+    def over(hashes: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.collect_list(hashes))))
+
     out = lined.groupBy("doc_id", "key", "item_id", "item", "n").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("n_matched"),
-        F.max(F.size("values")).cast("long").alias("n_slots"),
-        F.max(F.size(F.filter("values", lambda v: v["i"] != v["d"]))).cast("long").alias("n_changed"),
+        over(F.col("kept.hash")).alias("m"),
+        over(F.filter("windows", lambda w: w["same"])["hash"]).alias("verbatim"),
+        over(F.col("told.hash")).cast("long").alias("n_matched"),
+        F.max(F.size("pairs")).cast("long").alias("n_slots"),
+        F.max(F.size(F.filter("pairs", lambda v: v["i"] != v["d"]))).cast("long").alias("n_changed"),
     )
-    out = out.where(F.col("n_matched") >= coverage * F.col("n"))
+    out = out.where((F.col("m") >= coverage * F.col("n")) | (F.col("verbatim") >= F.greatest(F.lit(coverage), F.lit(VERBATIM)) * F.col("n")))
     return out.select("doc_id", "key", "item_id", F.col("n").alias("n_windows"), "n_matched", (F.col("n_matched") / F.col("n")).alias("coverage"), "n_slots", "n_changed")
 
 

@@ -82,3 +82,14 @@ def test_repeats_ties_and_empty_tables(spark):
 def test_no_python_in_the_plan(spark):
     plan = dc.op6_decontaminate(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_one_edited_value_does_not_hide_a_long_question(spark):
+    tail = " Write down every step of your reasoning and then give the final answer on a line of its own, without any unit and without further comment."
+    once = QUESTION + tail
+    often = once.replace("passes Albany", "from Boston passes Albany") + " Boston"
+    renamed = often.replace("Boston", "Denver").replace("Albany", "Reno")
+    texts = [once.replace("leaves Boston", "leaves Denver"), renamed.replace("leaves Denver", "leaves Austin"), QUESTION.replace("leaves Boston", "leaves Denver").replace("towards Albany", "towards Reno")]
+    rows = {(r.doc_id, r.item_id): r for r in dc.contaminated(documents(spark, texts), items(spark, [once, often])).collect()}
+    assert (0, 0) in rows and rows[0, 0].n_matched < rows[0, 0].n_windows and rows[0, 0].n_changed == 0
+    assert (1, 1) in rows and rows[1, 1].n_changed == 2 and not any(d == 2 for d, _ in rows)
