@@ -8,8 +8,13 @@ windows that hold another than the commonest are dropped; without a commonest on
 document is contaminated by an item if consistent windows cover at least COVERAGE of the item's, or if windows whose raw
 words equal the item's, of any alignment, cover at least VERBATIM of them.
 
-Defined cases: a null text is an empty one; an item with fewer than WINDOW words, or whose windows hold fewer than
-LITERALS ordinary words each, matches nothing; repeated rows (same id and text) count as one document, rows that
+An item without a window that counts (fewer than WINDOW words, or fewer than LITERALS ordinary ones in each) is found
+where its whole sequence of tokens stands in a document: words, numbers, signs of arithmetic and single characters of
+scripts without spaces, folded to lower case. It counts as one window. Items that hold such characters are looked for
+in this way too, as their words run into those around them.
+
+Defined cases: a null text is an empty one; an item without a letter or digit matches nothing, one of a single word
+every document that holds it; repeated rows (same id and text) count as one document, rows that
 share only the id are judged apart and give a row each; repeated item ids are items of their own if their texts
 differ; extra columns are ignored; an empty table, on either side, gives no rows.
 """
@@ -44,6 +49,9 @@ _MEASURES = rf"{_NUMBERS}\s?(?:(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u)
 #: A capitalised word after a word, a number, a comma or a semicolon; the capital is looked for first, as it is rarer.
 _NAMES = rf"(?=\p{{Lu}})(?<=[\p{{L}}\p{{M}},;{_NUMBER}{_UNIT}]\s{{1,3}})\p{{Lu}}[\p{{L}}\p{{M}}]*"
 _RAW = rf"(?i){_MEASURES}|{_NUMBERS}|[\p{{L}}\p{{M}}]+"
+#: Tokens of items that have no window: characters of scripts without spaces are tokens of their own.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_TOKENS = rf"{_NUMBERS}|[{_UNSPACED}]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]+|[\p{{Sm}}*/^÷%-]"
 _CANON = rf"{_NUMBER}{_UNIT}|[{_NAME}{_NUMBER}]|[\p{{L}}\p{{M}}]+"
 
 
@@ -68,6 +76,10 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(_clean(text), F.lit(_RAW), F.lit(0))
 
 
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(_clean(text)), F.lit(_TOKENS), F.lit(0))
+
+
 def _let(value: Column, use) -> Column:
     """use(value) with value computed once: bound as the variable of a one-element transform."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -98,6 +110,51 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return rows.join(n, ["item_id", "item"])
 
 
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, item, length, whole (hash of all tokens), width and anchor (hash of the first tokens, WINDOW at most) of
+    the items that have no window in benchmark_windows or hold characters of scripts without spaces."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).distinct()
+    items = items.select("item_id", F.xxhash64("text").alias("item"), canonical(F.col("text")).alias("canon"), tokens(F.col("text")).alias("tokens"))
+    ordinary = F.transform("canon", lambda w: ~F.startswith(w, F.lit(_NAME)) & ~F.startswith(w, F.lit(_NUMBER)))
+    items = items.withColumn("ordinary", ordinary)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("canon") - WINDOW, F.lit(0))), lambda q: F.size(F.filter(F.slice(F.col("ordinary"), q + 1, WINDOW), lambda o: o)) >= LITERALS)
+    unspaced = F.exists("tokens", lambda t: t.rlike(f"[{_UNSPACED}]"))
+    items = items.where((F.size("canon") > 0) & ((F.size("canon") < WINDOW) | (F.size(starts) == 0) | unspaced))
+    items = items.withColumn("length", F.size("tokens")).withColumn("width", F.least(F.col("length"), F.lit(WINDOW)))
+    return items.select("item_id", "item", "length", F.xxhash64("tokens").alias("whole"), "width", F.xxhash64(F.slice("tokens", F.lit(1), F.col("width"))).alias("anchor"))
+
+
+def _verbatim(documents: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """(doc_id, key, item_id, item) of the documents that hold a short item as it stands; None if there is no such item.
+
+    Anchors find the places where an item may start; there, one hash for each length of the items that start so is
+    joined with the hashes of whole items.
+    """
+    items = materialize(short_items(benchmark), "decontaminate-short")
+    n = items.count()
+    if not n:
+        return None
+    widths = [r.width for r in items.select("width").distinct().collect()]  # WINDOW at most
+    starts = small(items.select("width", "anchor", "length").distinct(), n, 24)
+
+    def anchors(words: Column) -> Column:
+        def of(width: int) -> Column:
+            places = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda p: F.struct(F.lit(width).alias("width"), p.alias("p"), F.xxhash64(F.slice(words, p + 1, width)).alias("anchor")))
+
+        return F.concat(*[of(w) for w in widths])
+
+    spots = documents.select("doc_id", "key", F.explode(_let(tokens(F.col("text")), anchors)).alias("x")).select("doc_id", "key", "x.*")
+    spots = spots.join(starts, ["width", "anchor"]).groupBy("doc_id", "key").agg(F.collect_set(F.struct("p", "length")).alias("spots"))
+    spots = materialize(spots.withColumnsRenamed({"doc_id": "d", "key": "k"}), "decontaminate-spots")
+    held = documents.join(spots, documents["doc_id"].eqNullSafe(spots["d"]) & (documents["key"] == spots["k"]))
+    wholes = _let(tokens(F.col("text")), lambda words: F.transform("spots", lambda s: F.struct(s["length"].alias("length"), F.xxhash64(F.slice(words, s["p"] + 1, s["length"])).alias("whole"))))
+    rows = held.select("doc_id", "key", F.explode(F.array_distinct(wholes)).alias("x")).select("doc_id", "key", "x.*")
+    # a slice cut short by the end of the text has another hash, as it has fewer tokens
+    return rows.join(small(items.select("item_id", "item", "length", "whole"), n, 40), ["length", "whole"]).select("doc_id", "key", "item_id", "item").distinct()
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
@@ -172,7 +229,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         F.max(F.size(F.filter("pairs", lambda v: v["i"] != v["d"]))).cast("long").alias("n_changed"),
     )
     out = out.where((F.col("m") >= coverage * F.col("n")) | (F.col("verbatim") >= F.greatest(F.lit(coverage), F.lit(VERBATIM)) * F.col("n")))
-    return out.select("doc_id", "key", "item_id", F.col("n").alias("n_windows"), "n_matched", (F.col("n_matched") / F.col("n")).alias("coverage"), "n_slots", "n_changed")
+    found = F.struct(F.col("n").alias("n_windows"), "n_matched", (F.col("n_matched") / F.col("n")).alias("coverage"), "n_slots", "n_changed")
+    out = out.select("doc_id", "key", "item_id", "item", found.alias("found"))
+    whole = _verbatim(documents, benchmark)
+    if whole is not None:
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        held = F.struct(one.alias("n_windows"), one.alias("n_matched"), F.lit(1.0).alias("coverage"), none.alias("n_slots"), none.alias("n_changed"))
+        # an item found both ways is told by its windows
+        out = out.unionByName(whole.withColumn("found", held)).groupBy("doc_id", "key", "item_id", "item").agg(F.max("found").alias("found"))
+    return out.select("doc_id", "key", "item_id", "found.*")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -93,3 +93,14 @@ def test_one_edited_value_does_not_hide_a_long_question(spark):
     rows = {(r.doc_id, r.item_id): r for r in dc.contaminated(documents(spark, texts), items(spark, [once, often])).collect()}
     assert (0, 0) in rows and rows[0, 0].n_matched < rows[0, 0].n_windows and rows[0, 0].n_changed == 0
     assert (1, 1) in rows and rows[1, 1].n_changed == 2 and not any(d == 2 for d, _ in rows)
+
+
+def test_short_items_are_found_as_they_stand(spark):
+    bench = ["What is 17 + 23?", "Solve 3x + 5 = 20.", "小明有3个苹果，小红有5个", "Ada Boole Curie Dirac Euler Fermat Gauss", "?!", "7 + 8", "7 + 8 + 9 + 10 + 11 + 12"]
+    texts = [
+        "Quiz. What is 17 + 23? Then go on.", "What is 17 - 23? What is 17 + 24?", "Please solve 3x + 5 = 20. now", "题目小明有3个苹果，小红有5个橘子", "by Ada Boole Curie Dirac Euler Fermat Gauss",
+        "by Ada Boole Curie Dirac Euler Fermat", "we know 7 + 8 + 9 + 10 + 11 + 12", "7 + 8 + 9 + 10 + 11", None, "?!", "What is 17 + 23?",
+    ]
+    want = {(0, 0), (10, 0), (2, 1), (3, 2), (4, 3), (6, 5), (6, 6), (7, 5)}
+    assert found(dc.contaminated(documents(spark, texts), items(spark, bench))) == want
+    assert {r.doc_id for r in dc.remove_contaminated(documents(spark, texts), items(spark, bench)).collect()} == {1, 5, 8, 9}
