@@ -6,7 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +19,15 @@ _own_dir: str | None = None
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset and all work is local."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         # a path without a scheme is the cluster's default file system, for Python readers and writers too
         path = spark._jvm.org.apache.hadoop.fs.Path(base)
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="stratum-")
     return _own_dir
@@ -79,8 +81,25 @@ def _trim() -> None:
         return
 
 
+#: Bytes of a batch that a function gets at once; Spark's own batches hold up to 64 MiB.
+BATCH_BYTES = 8 << 20
+
+
+def parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most `rows` rows and about BATCH_BYTES (one row at least)."""
+    n = batch.num_rows
+    step = max(1, min(rows, n * BATCH_BYTES // max(1, batch.nbytes)))
+    for at in range(0, n, step):
+        some = batch.slice(at, step)
+        # rows of very different sizes: cut again where a run came out too large
+        if some.num_rows > 1 and some.nbytes > 2 * BATCH_BYTES:
+            yield from parts(some, max(1, some.num_rows // 2))
+        else:
+            yield some
+
+
 def arrow_map(df: DataFrame, fn, schema, rows: int = 512, owner: str = "") -> DataFrame:
-    """mapInArrow with batches small enough that long texts fit beside each other.
+    """mapInArrow over runs of rows small enough that long texts fit beside each other, whatever the session's batches.
 
     Workers live on between tasks, so caches of other operators than the owner are dropped first.
     """
@@ -90,11 +109,10 @@ def arrow_map(df: DataFrame, fn, schema, rows: int = 512, owner: str = "") -> Da
         for clear in stale:
             clear()
         try:
-            yield from fn(batches)
+            yield from fn(part for batch in batches for part in parts(batch, rows))
         finally:
             _trim()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(run, schema)
 
 

@@ -3,7 +3,9 @@
 A text is cut where ASCII white space follows anything but white space, and where ASCII letters, digits and marks
 (but for apostrophes and bars) meet. No pre-token of the byte-level file spans
 such a place, its lookahead stays inside a unit, and the word file drops white space altogether; so the ids of a
-text are those of its units in order, and equal units share the library's answer. Special strings hold no white
+text are those of its units in order, and equal units share the library's answer. Units are told apart byte by byte:
+a hash finds them, their bytes confirm it, and should two different ones ever have one hash, the library gets the texts
+as they are. Special strings hold no white
 space and thus stand within one unit, where the library treats them by its default.
 """
 
@@ -85,11 +87,8 @@ class UnitEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.known = tk.Known()
+        self.starts, self.sizes, self.ids = tk.Column(np.int64), tk.Column(np.int64), tk.Column(np.uint32)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids and their numbers for units that hold the separator themselves."""
@@ -105,10 +104,10 @@ class UnitEncoder:
             raise ValueError("the separator was not kept apart")
         return np.delete(ids, marks), sizes
 
-    def _learn(self, buf: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         mark = np.frombuffer(self.mark.encode(), np.uint8)
-        for at in range(0, len(keys), _BATCH):
-            k, a, b = keys[at : at + _BATCH], starts[at : at + _BATCH], ends[at : at + _BATCH]
+        for at in range(0, len(starts), _BATCH):
+            a, b = starts[at : at + _BATCH], ends[at : at + _BATCH]
             width = b - a + len(mark)
             to = np.cumsum(width) - width
             joined = np.empty(int(width.sum()), np.uint8)
@@ -117,24 +116,17 @@ class UnitEncoder:
             joined[place] = buf[place + shift]
             joined[(to + b - a)[:, None] + np.arange(len(mark))] = mark
             data = joined[: -len(mark)].tobytes()
-            if data.count(mark.tobytes()) == len(k) - 1:
-                ids, sizes = self._library_joined(data, len(k))
+            if data.count(mark.tobytes()) == len(a) - 1:
+                ids, sizes = self._library_joined(data, len(a))
             else:
                 text = buf.tobytes()
                 ids, sizes = self._library([text[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-            self._store(k, ids, sizes)
-
-    def _store(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        at = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        # two sorted runs: a stable sort merges them
-        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
-        self.keys = np.concatenate([self.keys, keys])[order]
-        self.starts = np.concatenate([self.starts, at])[order]
-        self.sizes = np.concatenate([self.sizes, sizes])[order]
+            self._store(ids, sizes)
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts.extend(self.ids.used + np.cumsum(sizes) - sizes)
+        self.sizes.extend(sizes)
+        self.ids.extend(ids)
 
     def _folded(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bytes by which units are compared: in lower case if the file folds case, but for units with a bar, which
@@ -146,11 +138,10 @@ class UnitEncoder:
             out[starts[i] : ends[i]] = buf[starts[i] : ends[i]]
         return out
 
-    def _known(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys
+    def _plain(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of whole texts, straight from the library."""
+        data, ends = buf.tobytes(), offsets.tolist()
+        return self._library([data[a:b].decode() for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in order, and how many each has."""
@@ -158,20 +149,25 @@ class UnitEncoder:
         starts, ends = units(buf, offsets, self.keep_space)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        hashes = tk.range_hashes(tk.BYTE_VALUES[self._folded(buf, starts, ends)], starts, ends)
-        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        new = ~self._known(keys)
-        if new.any():
+        some = tk.distinct(tk.strings_of(self._folded(buf, starts, ends), starts, ends))
+        slot = None if some is None else self.known.find(some)
+        if slot is None:
+            return self._plain(buf, offsets)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
             # a cleared store has lost what it knew, so all units of this batch are learnt then
-            if len(self.keys) + int(new.sum()) > MOST_UNITS:
+            if len(self.known) + len(new) > MOST_UNITS:
                 self._clear()
-                new[:] = True
-            self._learn(buf, keys[new], starts[first[new]], ends[first[new]])
-        at = np.searchsorted(self.keys, keys)
-        sizes = self.sizes[at][which]
+                new = np.arange(len(slot))
+            slot[new] = len(self.known) + np.arange(len(new))
+            one = some.one[new]
+            self._learn(buf, starts[one], ends[one])
+            self.known.add(some, new)
+        at = slot[some.which]
+        sizes = self.sizes.data[at]
         before = np.cumsum(sizes) - sizes
-        pick = np.repeat(self.starts[at][which] - before, sizes) + np.arange(int(sizes.sum()))
-        return self.ids[pick], np.bincount(tk.rows_of(starts, offsets), sizes, n).astype(np.int64)
+        pick = np.repeat(self.starts.data[at] - before, sizes) + np.arange(int(sizes.sum()))
+        return self.ids.data[pick], np.bincount(tk.rows_of(starts, offsets), sizes, n).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=4)

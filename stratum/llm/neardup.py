@@ -2,14 +2,14 @@
 
 Weighted shingles (five words, weighted by how often they occur) give each document a ProbMinHash signature; bands
 of it make buckets; similarities are then computed exactly, as probability Jaccard of the weighted shingles, and
-links of THRESHOLD or more are closed to classes. Texts with equal word sequences are one node from the start, so
-copies cost nothing beyond one narrow row each.
+links of THRESHOLD or more are closed to classes. Texts with equal word sequences (equal in two 64-bit hashes and in
+the number of shingles) are one node from the start, so copies cost nothing beyond one narrow row each.
 
 No bucket's pairs are listed. First every member of a bucket is compared with the bucket's most central member (the
 one with most bucket mates over all bands). Then, in buckets that still hold more than one class, members outside
 the central one's class are held in blocks, and the bucket's members stream past them, a part of them in each task: a pair is
 skipped if it is in one class by now, if an earlier band has it too, or if the registers agree so rarely that it
-cannot reach the threshold (LEAST_AGREE, 3.7 standard deviations below it); the rest are computed. Only links leave
+cannot reach the threshold (LEAST_AGREE, 6 standard deviations below it); the rest are computed. Only links leave
 the task. Blocks, parts and salted stars bound what a task group holds and deal a hot group over many tasks.
 
 Defined cases: words are runs other than ASCII white space in ASCII lower case; a text of one to four words is one
@@ -33,8 +33,9 @@ from stratum.llm.components import components
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
-#: Share of equal registers below which a pair is not computed.
-LEAST_AGREE = 0.65
+#: Share of equal registers below which a pair is not computed: a pair at the threshold has 0.8 of them, with a standard
+#: deviation of 0.04, so it falls below with a probability (about 1e-8) far under that of sharing no band (3e-6).
+LEAST_AGREE = 0.55
 #: Members of one star, and held members of one block, per task group.
 STAR = 250
 BLOCK = 256
@@ -47,13 +48,13 @@ def _key(text: Column) -> Column:
 
 
 def sketch(docs: DataFrame, width: int = sh.WIDTH) -> DataFrame:
-    """doc_id, key (hash of the text), words (hash of the word sequence), n, bands, and 16 bits of each register."""
+    """doc_id, key (hash of the text), words and words2 (hashes of the word sequence), n, bands, and 16 bits of each register."""
 
     def run(batches):
         for batch in batches:
             for at, end, buf, offsets in tk.slices(batch.column(2)):
                 n = end - at
-                row, hashes, weights, whole = sh.weighted(buf, offsets, width)
+                row, hashes, weights, whole, second = sh.weighted(buf, offsets, width)
                 registers = sh.signatures(row, hashes, weights, n, BANDS * ROWS)
                 count = np.bincount(row, weights, n).astype(np.int64)
                 bands = np.zeros((n, BANDS), np.uint64)
@@ -64,15 +65,15 @@ def sketch(docs: DataFrame, width: int = sh.WIDTH) -> DataFrame:
                 size = 2 * BANDS * ROWS
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0)[at:end], batch.column(1)[at:end], pa.array(whole.view(np.int64)), pa.array(count),
+                        batch.column(0)[at:end], batch.column(1)[at:end], pa.array(whole.view(np.int64)), pa.array(second.view(np.int64)), pa.array(count),
                         tk.lists(np.full(n, BANDS), pa.array(bands.reshape(-1).view(np.int64))),
                         pa.array([short[i * size : (i + 1) * size] for i in range(n)], pa.binary()),
                     ],
-                    names=["doc_id", "key", "words", "n", "bands", "registers"],
+                    names=["doc_id", "key", "words", "words2", "n", "bands", "registers"],
                 )
 
     source = docs.select(F.col("doc_id").cast("long"), _key(F.col("text")).alias("key"), "text")
-    return arrow_map(source, run, "doc_id long, key long, words long, n long, bands array<long>, registers binary")
+    return arrow_map(source, run, "doc_id long, key long, words long, words2 long, n long, bands array<long>, registers binary")
 
 
 def _shingle_rows(docs: DataFrame, nodes: DataFrame, count: int, width: int) -> DataFrame:
@@ -81,7 +82,7 @@ def _shingle_rows(docs: DataFrame, nodes: DataFrame, count: int, width: int) ->
     def run(batches):
         for batch in batches:
             for at, end, buf, offsets in tk.slices(batch.column(1)):
-                row, hashes, weights, _ = sh.weighted(buf, offsets, width)
+                row, hashes, weights, *_ = sh.weighted(buf, offsets, width)
                 cut = np.searchsorted(row, np.arange(end - at + 1))
                 h = [hashes[cut[i] : cut[i + 1]].tobytes() for i in range(end - at)]
                 w = [weights[cut[i] : cut[i + 1]].astype("<u4").tobytes() for i in range(end - at)]
@@ -151,27 +152,26 @@ def _block_links(members: DataFrame, rows: DataFrame, threshold: float) -> DataF
     """
 
     def run(batches):
-        now, held, parent, grid = None, [], {}, None
+        now, held, parent, grid, bands = None, [], {}, None, None
         for batch in batches:
             found = []
-            columns = [batch.column(i).to_pylist() for i in range(10)]
-            for band, h, block, part, turn, rid, label, hashes, weights, registers in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(11)]
+            for band, h, block, part, turn, rid, label, hashes, weights, registers, all_bands in zip(*columns, strict=True):
                 if (band, h, block, part) != now:
                     now, held, parent, grid = (band, h, block, part), [], {}, None
-                regs = np.frombuffer(registers, "<u2")
+                regs, own = np.frombuffer(registers, "<u2"), np.array(all_bands, np.int64)
                 mine = _set(hashes, weights)
                 if turn == 0:
-                    held.append((rid, label, mine, regs))
+                    held.append((rid, label, mine, regs, own))
                     continue
                 if grid is None:
-                    grid = np.stack([x[3] for x in held])
-                equal = grid == regs
-                near = equal.mean(1) >= LEAST_AGREE
+                    grid, bands = np.stack([x[3] for x in held]), np.stack([x[4] for x in held])
+                near = (grid == regs).mean(1) >= LEAST_AGREE
                 if not near.any():
                     continue
-                first = equal.reshape(len(held), BANDS, ROWS).all(2).argmax(1)
+                first = (bands == own).argmax(1)
                 for i in np.flatnonzero(near & (first == band)).tolist():
-                    other, its, its_set, _ = held[i]
+                    other, its, its_set, *_ = held[i]
                     if other == rid or (turn == 2 and other > rid):
                         continue
                     x, y = _root(parent, its), _root(parent, label)
@@ -193,7 +193,7 @@ def _block_links(members: DataFrame, rows: DataFrame, threshold: float) -> DataF
     full = holds.unionByName(passing).join(rows, "rid")
     group = ["band", "h", "block", "part"]
     full = full.repartition(*group).sortWithinPartitions(*group, "turn", "rid")
-    return arrow_map(full.select(*group, "turn", "rid", "label", "hashes", "weights", "registers"), run, _LINKS, 256)
+    return arrow_map(full.select(*group, "turn", "rid", "label", "hashes", "weights", "registers", "all_bands"), run, _LINKS, 256)
 
 
 def _root(parent: dict, x: int) -> int:
@@ -207,10 +207,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = sh.WIDTH
     it is the row that stands for the class; of fully equal rows all are) and rid."""
     drawn = materialize(sketch(docs, width), "neardup-sketch").withColumn("rid", F.monotonically_increasing_id())
     # equal word sequences: texts without words are never equal
+    same = ("words", "words2", "n")
     alone = F.when(F.col("n") == 0, F.col("rid")).otherwise(F.lit(-1))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "rid"))
-    copies = drawn.select("words", "n", alone.alias("alone"), "doc_id", "rid").groupBy("words", "n", "alone").agg(least.alias("m"))
-    copies = materialize(copies.select("words", "n", "alone", F.col("m.rid").alias("node"), F.col("m.doc_id").alias("node_doc")), "neardup-copies")
+    copies = drawn.select(*same, alone.alias("alone"), "doc_id", "rid").groupBy(*same, "alone").agg(least.alias("m"))
+    copies = materialize(copies.select(*same, "alone", F.col("m.rid").alias("node"), F.col("m.doc_id").alias("node_doc")), "neardup-copies")
 
     nodes = drawn.where("n > 0").join(copies.select(F.col("node").alias("rid")), "rid", "left_semi")
     members = nodes.select("rid", F.posexplode("bands").alias("band", "h"))
@@ -232,7 +233,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = sh.WIDTH
     held = F.count(F.when(F.col("outside"), 1))
     open_ = named.groupBy("band", "h").agg(F.ceil(held / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / PASSING).cast("int").alias("parts")).where("blocks > 0")
     active = materialize(named.join(open_, ["band", "h"]).select("band", "h", "rid", "label", "outside", "blocks", "parts"), "neardup-active")
-    full = rows.join(drawn.select("rid", "registers"), "rid")
+    full = rows.join(drawn.select("rid", "registers", F.col("bands").alias("all_bands")), "rid")
     more = materialize(_block_links(active, full, threshold), "neardup-blocks")
     labels = components(materialize(links.unionByName(more), "neardup-links"))
 
@@ -240,9 +241,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = sh.WIDTH
     named = copies.select("node", "node_doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.min(F.struct(F.col("node_doc").isNull().alias("u"), F.col("node_doc").alias("doc"), "node"))
     heads = named.groupBy("label").agg(order.alias("m")).select("label", F.col("m.doc").alias("class_id"), F.col("m.node").alias("head"))
-    named = materialize(copies.join(named.select("node", "label"), "node").join(heads, "label").select("words", "n", "alone", "class_id", "head"), "neardup-classes")
-    rows = drawn.select("doc_id", "key", "rid", "words", "n", alone.alias("alone"))
-    return rows.join(named, ["words", "n", "alone"]).select("doc_id", "key", "class_id", (F.col("rid") == F.col("head")).alias("first"), "rid")
+    named = materialize(copies.join(named.select("node", "label"), "node").join(heads, "label").select(*same, "alone", "class_id", "head"), "neardup-classes")
+    rows = drawn.select("doc_id", "key", "rid", *same, alone.alias("alone"))
+    return rows.join(named, [*same, "alone"]).select("doc_id", "key", "class_id", (F.col("rid") == F.col("head")).alias("first"), "rid")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -23,8 +23,8 @@ from stratum.llm.common import arrow_map, materialize, small, table
 #: A line is removed on a host if more than this share of its documents, and more than LINE_FLOOR, hold it.
 LINE_SHARE = 0.05
 LINE_FLOOR = 20
-#: In the pipeline a line also goes on a host if more distinct documents than this hold it, however many the host has.
-#: Published line filters go as low as 6 in 30 million documents; OP7_SQL, and so the query, has no such bound.
+#: A line also goes on a host if more distinct documents than this hold it, however many the host has.
+#: Published line filters go as low as 6 in 30 million documents.
 LINE_MOST = 100
 #: A document is depleted if more than this share of its words stands in removed lines.
 DEPLETED_SHARE = 0.7
@@ -41,6 +41,22 @@ _FOLD[48:58] = 48
 _MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
+def _repeats(buf: np.ndarray, held: tk.Strings, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each line equals an earlier one of its row: by hash, then byte by byte."""
+    order = np.lexsort((held.hash, row))
+    a, b = order[:-1], order[1:]
+    near = np.flatnonzero((row[a] == row[b]) & (held.hash[a] == held.hash[b]))
+    out = np.zeros(len(row), bool)
+    out[b[near]] = True
+    if not held.equal(a[near], held, b[near]).all():
+        # different lines with one hash: compare the texts themselves
+        seen = set()
+        for i, key in enumerate(zip(row.tolist(), (buf[x:y].tobytes() for x, y in zip(start.tolist(), end.tolist(), strict=True)), strict=True)):
+            out[i] = key in seen
+            seen.add(key)
+    return out
+
+
 def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The base measures of each text, and of its lines with words the row, hash, words, start and end."""
     n = len(offsets) - 1
@@ -55,12 +71,9 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     full = llast > lfirst
     lrow, lstart, lend, lfirst, llast = (x[full] for x in (lrow, lstart, lend, lfirst, llast))
 
-    raw = tk.range_hashes(tk.BYTE_VALUES[buf], lstart, lend) ^ tk.mix(lrow.astype(np.uint64) + np.uint64(1))
-    order = np.argsort(raw, kind="stable")
-    again = np.zeros(len(raw), bool)
-    again[order[1:]] = raw[order[1:]] == raw[order[:-1]]
+    again = _repeats(buf, tk.strings_of(buf, lstart, lend), lrow, lstart, lend)
 
-    exact = tk.range_hashes(tk.BYTE_VALUES[buf], starts, ends)
+    exact = tk.strings_of(buf, starts, ends).hash
     first, hashes = tk.windows(exact, wrow, WINDOW)
     keys = hashes ^ tk.mix(wrow[first].astype(np.uint64) + np.uint64(1))
     ranked = np.sort(keys)
@@ -73,7 +86,7 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         np.add.at(covered, hit + WINDOW, -1)
     repeated = np.cumsum(covered)[:-1] > 0
 
-    folded = tk.range_hashes(tk.BYTE_VALUES[_FOLD[buf]], starts, ends)
+    folded = tk.strings_of(_FOLD[buf], starts, ends).hash
     return {
         "n_words": np.bincount(wrow, minlength=n)[:n].astype(np.int64),
         "word_chars": solid[offsets[1:]] - solid[offsets[:-1]],
@@ -81,11 +94,11 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_dup_lines": tk.per_row(again, lrow, n),
         "n_repeat_words": tk.per_row(repeated, wrow, n),
         "line_row": lrow,
-        "line_hash": tk.range_hashes(folded, lfirst, llast).view(np.int64),
+        "line_hash": tk.sequence_hashes(folded, lfirst, llast).view(np.int64),
         "line_words": (llast - lfirst).astype(np.int64),
         "line_start": lstart,
         "line_end": lend,
-        "text_hash": tk.range_hashes(tk.BYTE_VALUES[buf], offsets[:-1], offsets[1:]).view(np.int64),
+        "text_hash": tk.strings_of(buf, offsets[:-1], offsets[1:]).hash.view(np.int64),
     }
 
 
@@ -123,14 +136,15 @@ def profile(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, f"doc_id long, host string, key long, {_MEASURES}, text_hash long, line_hashes array<long>, line_words array<long>")
 
 
-def frequent_lines(profiled: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR, most: int | None = None) -> DataFrame:
+def frequent_lines(profiled: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR, most: int | None = LINE_MOST) -> DataFrame:
     """(host, line) of the lines that stand in too many distinct documents of their host: more than `floor` and the
     share, or more than `most` if that is given.
 
     Exact copies on a host are counted once: the first of each text is found on narrow rows, and only its lines
     are exploded. Counts are combined before each shuffle, so a hot host or line sends one row per task.
     """
-    firsts = profiled.groupBy("host", "text_hash").agg(F.min("rid").alias("rid"))
+    # a text is told by two unrelated 64-bit hashes and its counts
+    firsts = profiled.groupBy("host", "key", "text_hash", "n_words", "word_chars").agg(F.min("rid").alias("rid"))
     firsts = materialize(firsts.select("rid", "host"), "quality-firsts")
     hosts = firsts.groupBy("host").agg(F.count("*").alias("host_docs"))
     one = profiled.select("rid", "host", "line_hashes").join(firsts.select("rid"), "rid", "left_semi")
@@ -141,7 +155,7 @@ def frequent_lines(profiled: DataFrame, share: float = LINE_SHARE, floor: int =
     return joined.where(often if most is None else often | (F.col("docs") > most)).select("host", "line", "docs", "host_docs")
 
 
-def judge(docs: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR, depleted: float = DEPLETED_SHARE, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+def judge(docs: DataFrame, share: float = LINE_SHARE, floor: int = LINE_FLOOR, depleted: float = DEPLETED_SHARE, most: int | None = LINE_MOST) -> tuple[DataFrame, DataFrame]:
     """(verdicts, removed lines): a row for each document row, and (doc_id, host, lines) where lines are removed."""
     profiled = materialize(profile(docs), "quality-profile").withColumn("rid", F.monotonically_increasing_id())
     common = materialize(frequent_lines(profiled, share, floor, most), "quality-lines")
@@ -204,7 +218,7 @@ def strip_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, without the lines that they remove."""
-    verdicts, removed = judge(docs, most=LINE_MOST)
+    verdicts, removed = judge(docs)
     bad = verdicts.where("not kept").select(F.col("doc_id").alias("__doc"), F.col("host").alias("__host"), F.col("key").alias("__key"))
     bad = materialize(bad.distinct(), "quality-rejected")
     side = small(bad, bad.count(), 64)
@@ -236,7 +250,7 @@ covered AS (SELECT DISTINCT s.rid, s.pos + o.o AS pos FROM spots s CROSS JOIN (S
 rep AS (SELECT rid, count(*) AS n_repeat FROM covered GROUP BY rid),
 hosts AS (SELECT coalesce(source, '-null-') AS host, count(DISTINCT text) AS docs FROM d GROUP BY 1),
 held AS (SELECT coalesce(d.source, '-null-') AS host, folded, count(DISTINCT d.text) AS docs FROM lines JOIN d ON d.rid = lines.rid GROUP BY 1, 2),
-common AS (SELECT held.host, folded FROM held JOIN hosts ON hosts.host = held.host WHERE held.docs > {LINE_FLOOR} AND held.docs > {LINE_SHARE} * hosts.docs),
+common AS (SELECT held.host, folded FROM held JOIN hosts ON hosts.host = held.host WHERE (held.docs > {LINE_FLOOR} AND held.docs > {LINE_SHARE} * hosts.docs) OR held.docs > {LINE_MOST}),
 gone AS (SELECT lines.rid, sum(lines.n) AS removed FROM lines JOIN d ON d.rid = lines.rid JOIN common c ON c.host = coalesce(d.source, '-null-') AND c.folded = lines.folded GROUP BY lines.rid),
 o AS (SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
       CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words

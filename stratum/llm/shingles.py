@@ -13,8 +13,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def weighted(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle hash, times it occurs) sorted by row and hash, and a hash of each row's word sequence.
+def weighted(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle hash, times it occurs) sorted by row and hash, and two unrelated hashes of each row's word sequence.
 
     Words are runs other than ASCII white space, in ASCII lower case. A text of fewer than `width` words, but one at
     least, has itself as its only shingle; a text without words has none.
@@ -22,11 +22,11 @@ def weighted(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[
     n = len(offsets) - 1
     starts, ends = tk.words(buf, offsets)
     rows = tk.rows_of(starts, offsets)
-    words = tk.range_hashes(tk.BYTE_VALUES[_FOLD[buf]], starts, ends)
+    words = tk.strings_of(_FOLD[buf], starts, ends).hash
     first, hashes = tk.windows(words, rows, width)
     row = rows[first]
     bounds = np.searchsorted(rows, np.arange(n + 1))
-    whole = tk.range_hashes(words, bounds[:-1], bounds[1:])
+    whole = tk.sequence_hashes(words, bounds[:-1], bounds[1:])
     short = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < width))
     row = np.concatenate([row, short])
     hashes = np.concatenate([hashes, whole[short]])
@@ -35,7 +35,7 @@ def weighted(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
     at = np.flatnonzero(new)
-    return row[at], hashes[at], np.diff(np.append(at, len(row))), whole
+    return row[at], hashes[at], np.diff(np.append(at, len(row))), whole, tk.sequence_hashes(words, bounds[:-1], bounds[1:], 1)
 
 
 def signatures(row: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:

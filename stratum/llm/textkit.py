@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,30 +19,13 @@ _rng = np.random.default_rng(20240607)
 #: One random 64-bit value for each byte.
 BYTE_VALUES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 
+_SALTS = _rng.integers(0, 1 << 64, 1 << 12, dtype=np.uint64)
+#: Masks that keep so many bytes of a block.
+_TAILS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _pow_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier modulo 2**64 and of its inverse, n of each at least."""
-    size = 1 << max(12, (n - 1).bit_length())
-    if size > 8 * SLICE_BYTES or 0 not in _powers or len(_powers[0][0]) < size:
-        got = []
-        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-            out = np.ones(size, np.uint64)
-            done = 1
-            while done < size:
-                out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, 1 << 64))
-                done *= 2
-            got.append(out)
-        if size > 8 * SLICE_BYTES:
-            return got[0], got[1]
-        _powers[0] = (got[0], got[1])
-    return _powers[0]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(32))
@@ -52,12 +36,126 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the values in each [start, end); equal sequences have equal hashes wherever they stand."""
-    up, down = _pow_table(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
+@dataclasses.dataclass
+class Strings:
+    """Byte strings as runs of eight-byte blocks, the last one padded with zeros, and a hash of each string."""
+
+    hash: np.ndarray
+    block: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    length: np.ndarray
+
+    def equal(self, i: np.ndarray, other: Strings, j: np.ndarray) -> np.ndarray:
+        """Whether string i[k] here and string j[k] there are the same bytes."""
+        same = self.length[i] == other.length[j]
+        at = np.flatnonzero(same)
+        count = self.count[i[at]]
+        inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        differ = self.block[np.repeat(self.first[i[at]], count) + inner] != other.block[np.repeat(other.first[j[at]], count) + inner]
+        same[np.repeat(at, count)[differ]] = False
+        return same
+
+
+def _sums(block: np.ndarray, first: np.ndarray, count: np.ndarray, length: np.ndarray, inner: np.ndarray, seed: int) -> np.ndarray:
+    """Each block is mixed with its place, so a hash is a sum of unrelated numbers; no structure of the string cancels."""
+    salt = _SALTS[inner & (len(_SALTS) - 1)] + (inner >> 12).astype(np.uint64) * np.uint64(_ODD)
+    out = np.zeros(len(first), np.uint64)
+    full = np.flatnonzero(count)
+    if len(full):
+        out[full] = np.add.reduceat(mix((block ^ salt) + np.uint64(seed * 0x632BE59BD9B4E019 & _MASK)), first[full])
+    return mix(out + (length.astype(np.uint64) + np.uint64(seed)) * np.uint64(_ODD))
+
+
+def strings_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Strings:
+    """The bytes in each [start, end), with 64-bit hashes: equal strings have equal hashes wherever they stand."""
+    length = ends - starts
+    count = (length + 7) >> 3
+    first = np.cumsum(count) - count
+    inner = np.arange(int(count.sum())) - np.repeat(first, count)
+    at = np.repeat(starts, count) + 8 * inner
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    block = np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))[at]
+    block &= _TAILS[np.minimum(np.repeat(ends, count) - at, 8)]
+    return Strings(_sums(block, first, count, length, inner, 0), block, first, count, length)
+
+
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the values in each [start, end), for ranges in order that do not overlap."""
+    count = ends - starts
+    first = np.cumsum(count) - count
+    inner = np.arange(int(count.sum())) - np.repeat(first, count)
+    return _sums(values[np.repeat(starts, count) + inner], first, count, count, inner, seed)
+
+
+@dataclasses.dataclass
+class Distinct:
+    """The distinct strings of a batch by ascending hash: one place of each, and which of them every string is."""
+
+    strings: Strings
+    keys: np.ndarray
+    one: np.ndarray
+    which: np.ndarray
+
+
+def distinct(strings: Strings) -> Distinct | None:
+    """Told by hash and confirmed byte by byte; None if two different strings have one hash."""
+    keys, one, which = np.unique(strings.hash, return_index=True, return_inverse=True)
+    if not strings.equal(np.arange(len(which)), strings, one[which]).all():
+        return None
+    return Distinct(strings, keys, one, which)
+
+
+class Column:
+    """An array that grows at its end, by doubling."""
+
+    def __init__(self, kind: type):
+        self.data, self.used = np.zeros(1 << 12, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        need = self.used + len(more)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.used], np.zeros(max(need, 2 * self.used) - self.used, self.data.dtype)])
+        self.data[self.used : need] = more
+        self.used = need
+
+
+class Known:
+    """Strings met before, by hash, with their bytes: numbers them in the order they are added."""
+
+    def __init__(self) -> None:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.block, self.first, self.count, self.length = Column(np.uint64), Column(np.int64), Column(np.int64), Column(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, some: Distinct) -> np.ndarray | None:
+        """The number of each distinct string, -1 where it is new; None if a known string of other bytes has its hash."""
+        if not len(self.keys):
+            return np.full(len(some.keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, some.keys), len(self.keys) - 1)
+        slot = np.where(self.keys[at] == some.keys, self.slots[at], -1)
+        old = np.flatnonzero(slot >= 0)
+        mine = Strings(self.keys, self.block.data, self.first.data, self.count.data, self.length.data)
+        return slot if some.strings.equal(some.one[old], mine, slot[old]).all() else None
+
+    def add(self, some: Distinct, new: np.ndarray) -> None:
+        """Numbers the distinct strings at the places `new`, in this order."""
+        source, one = some.strings, some.one[new]
+        count = source.count[one]
+        first = np.cumsum(count) - count
+        inner = np.arange(int(count.sum())) - np.repeat(first, count)
+        self.first.extend(self.block.used + first)
+        self.block.extend(source.block[np.repeat(source.first[one], count) + inner])
+        self.count.extend(count)
+        self.length.extend(source.length[one])
+        keys = np.concatenate([self.keys, some.keys[new]])
+        slots = np.concatenate([self.slots, len(self.slots) + np.arange(len(new))])
+        # two sorted runs: a stable sort merges them
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.slots = keys[order], slots[order]
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -121,7 +219,7 @@ def windows(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarra
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(width):
-        out = out * np.uint64(_ODD) + hashes[k : k + n]
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(_ODD) + hashes[k : k + n]
     first = np.flatnonzero(rows[:n] == rows[width - 1 :])
     return first, mix(out[first])
 

@@ -11,7 +11,7 @@ Two deterministic machines, both annotated with what they emit:
   state holds (token before, node of the token trie, tokens emitted beyond those on the transitions) for every guess
   still alive, a transition emits what all guesses agree on, and the end of a pre-token emits the rest.
 
-Special strings of the file are split off first and count as one token each, as the library does by default.
+Pre-tokens that were met before are told by a hash and confirmed byte by byte. Special strings of the file are split off first and count as one token each, as the library does by default.
 Texts longer than SLICE are cut where a letter, one space and a letter stand, which is a pre-token boundary.
 
 Defined cases: a null text is an empty one with no bytes and no tokens; repeated rows each get a row; extra columns
@@ -267,7 +267,7 @@ class TokenCounter:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known, self.counts = tk.Known(), tk.Column(np.int64)
 
     def _classify(self, codes: np.ndarray) -> None:
         """Asks the library's own splitter which class a character new to us has."""
@@ -301,16 +301,14 @@ class TokenCounter:
                 out[quotes[(a == ord(x)) & (b == ord(y))]] = _SHORT3
         return out + first.astype(np.uint8) * 8
 
-    def _words(self, data: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _words(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Token counts of the pre-tokens in [start, end)."""
         if len(self.counter.arcs) > MOST_TRANSITIONS:
             self.counter.clear()
         if len(self.counter.pairs) > MOST_TRANSITIONS:
             self.counter.pairs.clear()
         count = self.counter.count
-        got = np.fromiter((count(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
-        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
-        self.keys = np.concatenate([self.keys, keys])[order]
-        self.counts = np.concatenate([self.counts, got])[order]
+        return np.fromiter((count(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
 
     def _pieces(self, texts: list[str]) -> np.ndarray:
         """Token counts of texts without special strings."""
@@ -327,16 +325,22 @@ class TokenCounter:
         buf = np.frombuffer(data, np.uint8)
         place = np.flatnonzero((buf & 0xC0) != 0x80)[marks]
         stop = np.append(place[1:], len(buf))
-        hashes = tk.range_hashes(tk.BYTE_VALUES[buf], place, stop)
-        keys, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if len(self.keys) + int(new.sum()) > MOST_WORDS:
-            self._forget()
-            new[:] = True
-        if new.any():
-            self._words(data, keys[new], place[one[new]], stop[one[new]])
-        counts = self.counts[np.searchsorted(self.keys, keys)][which]
+        some = tk.distinct(tk.strings_of(buf, place, stop))
+        slot = None if some is None else self.known.find(some)
+        if slot is None:
+            # two different pre-tokens have one hash: each is counted for itself
+            counts = self._words(data, place, stop)
+        else:
+            new = np.flatnonzero(slot < 0)
+            if len(self.known) + len(new) > MOST_WORDS:
+                self._forget()
+                new = np.arange(len(slot))
+            if len(new):
+                slot[new] = len(self.known) + np.arange(len(new))
+                one = some.one[new]
+                self.counts.extend(self._words(data, place[one], stop[one]))
+                self.known.add(some, new)
+            counts = self.counts.data[slot[some.which]]
         total = np.concatenate([[0], np.cumsum(counts)])
         return np.diff(total[np.searchsorted(marks, np.concatenate([[0], ends]))])
 
