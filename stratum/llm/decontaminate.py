@@ -44,8 +44,10 @@ UNITS = (
 #: Private characters that stand for the slots.
 _NAME, _NUMBER, _UNIT = "\ue000", "\ue001", "\ue002"
 _PRIVATE = "[\ue000-\ue002]"
-_NUMBERS = r"\p{N}+(?:[.,]\p{N}+)*"
-_MEASURES = rf"{_NUMBERS}\s?(?:(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])|[%€$£])"
+# possessive, as a greedy group of such a body recurses once for each repetition; nothing after it wants a digit back
+_NUMBERS = r"\p{N}++(?:[.,]\p{N}++)*+"
+# a number is tried from its start only: its tails end where it ends, and trying them all would read it once a digit
+_MEASURES = rf"(?<!\p{{N}})(?<!\p{{N}}[.,]){_NUMBERS}\s?(?:(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])|[%€$£])"
 #: A capitalised word after a word, a number, a comma or a semicolon; the capital is looked for first, as it is rarer.
 _NAMES = rf"(?=\p{{Lu}})(?<=[\p{{L}}\p{{M}},;{_NUMBER}{_UNIT}]\s{{1,3}})\p{{Lu}}[\p{{L}}\p{{M}}]*"
 _RAW = rf"(?i){_MEASURES}|{_NUMBERS}|[\p{{L}}\p{{M}}]+"
@@ -85,6 +87,11 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def run_of(words: Column, first: Column, length: int) -> Column:
+    """`length` words from place `first` on, each taken by its place: a slice would unpack the whole array every time."""
+    return F.array(*[F.get(words, first + k) for k in range(length)])
+
+
 def window_hashes(words: Column, width: int = WINDOW) -> Column:
     """64-bit hash of every run of `width` words."""
 
@@ -103,8 +110,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     items = items.select("item_id", F.xxhash64("text").alias("item"), canonical(F.col("text")).alias("canon"), raw_words(F.col("text")).alias("raw"))
     slots = F.transform("canon", lambda w: F.startswith(w, F.lit(_NAME)) | F.startswith(w, F.lit(_NUMBER)))
     items = items.withColumn("slots", slots).withColumn("hashes", window_hashes(F.col("canon")))
-    rows = items.select("item_id", "item", "raw", "slots", F.posexplode("hashes").alias("q", "hash"))
-    rows = rows.select("item_id", "item", "q", "hash", F.slice("raw", F.col("q") + 1, WINDOW).alias("item_raw"), F.slice("slots", F.col("q") + 1, WINDOW).alias("slots"))
+    spot = lambda h, q: F.struct(q.alias("q"), h.alias("hash"), run_of(F.col("raw"), q, WINDOW).alias("item_raw"), run_of(F.col("slots"), q, WINDOW).alias("slots"))
+    rows = items.select("item_id", "item", F.explode(F.transform("hashes", spot)).alias("x")).select("item_id", "item", "x.*")
     rows = rows.where(F.size(F.filter("slots", lambda s: ~s)) >= LITERALS)
     n = rows.groupBy("item_id", "item").agg(F.countDistinct("hash").alias("n"))
     return rows.join(n, ["item_id", "item"])
@@ -118,7 +125,7 @@ def short_items(benchmark: DataFrame) -> DataFrame:
     items = items.select("item_id", F.xxhash64("text").alias("item"), canonical(F.col("text")).alias("canon"), tokens(F.col("text")).alias("tokens"))
     ordinary = F.transform("canon", lambda w: ~F.startswith(w, F.lit(_NAME)) & ~F.startswith(w, F.lit(_NUMBER)))
     items = items.withColumn("ordinary", ordinary)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("canon") - WINDOW, F.lit(0))), lambda q: F.size(F.filter(F.slice(F.col("ordinary"), q + 1, WINDOW), lambda o: o)) >= LITERALS)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("canon") - WINDOW, F.lit(0))), lambda q: F.size(F.filter(run_of(F.col("ordinary"), q, WINDOW), lambda o: o)) >= LITERALS)
     unspaced = F.exists("tokens", lambda t: t.rlike(f"[{_UNSPACED}]"))
     items = items.where((F.size("canon") > 0) & ((F.size("canon") < WINDOW) | (F.size(starts) == 0) | unspaced))
     items = items.withColumn("length", F.size("tokens")).withColumn("width", F.least(F.col("length"), F.lit(WINDOW)))
@@ -141,7 +148,7 @@ def _verbatim(documents: DataFrame, benchmark: DataFrame) -> DataFrame | None:
     def anchors(words: Column) -> Column:
         def of(width: int) -> Column:
             places = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width)).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda p: F.struct(F.lit(width).alias("width"), p.alias("p"), F.xxhash64(F.slice(words, p + 1, width)).alias("anchor")))
+            return F.transform(places, lambda p: F.struct(F.lit(width).alias("width"), p.alias("p"), F.xxhash64(run_of(words, p, width)).alias("anchor")))
 
         return F.concat(*[of(w) for w in widths])
 
@@ -149,9 +156,10 @@ def _verbatim(documents: DataFrame, benchmark: DataFrame) -> DataFrame | None:
     spots = spots.join(starts, ["width", "anchor"]).groupBy("doc_id", "key").agg(F.collect_set(F.struct("p", "length")).alias("spots"))
     spots = materialize(spots.withColumnsRenamed({"doc_id": "d", "key": "k"}), "decontaminate-spots")
     held = documents.join(spots, documents["doc_id"].eqNullSafe(spots["d"]) & (documents["key"] == spots["k"]))
-    wholes = _let(tokens(F.col("text")), lambda words: F.transform("spots", lambda s: F.struct(s["length"].alias("length"), F.xxhash64(F.slice(words, s["p"] + 1, s["length"])).alias("whole"))))
+    whole = lambda words, s: F.xxhash64(F.transform(F.sequence(s["p"], s["p"] + s["length"] - 1), lambda i: F.get(words, i)))
+    inside = lambda words: F.filter("spots", lambda s: s["p"] + s["length"] <= F.size(words))
+    wholes = _let(tokens(F.col("text")), lambda words: F.transform(inside(words), lambda s: F.struct(s["length"].alias("length"), whole(words, s).alias("whole"))))
     rows = held.select("doc_id", "key", F.explode(F.array_distinct(wholes)).alias("x")).select("doc_id", "key", "x.*")
-    # a slice cut short by the end of the text has another hash, as it has fewer tokens
     return rows.join(small(items.select("item_id", "item", "length", "whole"), n, 40), ["length", "whole"]).select("doc_id", "key", "item_id", "item").distinct()
 
 
@@ -198,8 +206,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     ids = small(pairs.select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct(), m, 32)
     hit = documents.join(ids, documents["doc_id"].eqNullSafe(ids["d"]) & (documents["key"] == ids["k"]), "left_semi")
     hit = hit.select("doc_id", "key", window_hashes(canonical(F.col("text"))).alias("hashes"), raw_words(F.col("text")).alias("raw"))
-    rows = hit.select("doc_id", "key", "raw", F.posexplode("hashes").alias("p", "hash"))
-    rows = rows.select("doc_id", "key", "p", "hash", F.slice("raw", F.col("p") + 1, WINDOW).alias("doc_raw"))
+    spot = lambda h, p: F.struct(p.alias("p"), h.alias("hash"), run_of(F.col("raw"), p, WINDOW).alias("doc_raw"))
+    rows = hit.select("doc_id", "key", F.explode(F.transform("hashes", spot)).alias("x")).select("doc_id", "key", "x.*")
     aligned = rows.join(small(windows, n, 256), "hash")
     wanted = small(pairs.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("item_id").alias("i"), F.col("item").alias("t")), m, 48)
     on = aligned["doc_id"].eqNullSafe(wanted["d"]) & (aligned["key"] == wanted["k"]) & aligned["item_id"].eqNullSafe(wanted["i"]) & (aligned["item"] == wanted["t"])

@@ -104,3 +104,15 @@ def test_short_items_are_found_as_they_stand(spark):
     want = {(0, 0), (10, 0), (2, 1), (3, 2), (4, 3), (6, 5), (6, 6), (7, 5)}
     assert found(dc.contaminated(documents(spark, texts), items(spark, bench))) == want
     assert {r.doc_id for r in dc.remove_contaminated(documents(spark, texts), items(spark, bench)).collect()} == {1, 5, 8, 9}
+
+
+def test_very_long_texts(spark):
+    item = "If the shop sells 3 red apples and 4 green ones each day for 5 days how many apples does the shop sell"
+    texts = [
+        ",".join(str(i) for i in range(200_000)), "a" * 1_000_000, "1." * 100_000, "3.5 km " * 60_000, "Ab " * 100_000, "漢" * 200_000, " " * 300_000 + "A",
+        "What is " * 40_000, ",".join(str(i) for i in range(20_000)) + " " + item, "What is 17 + 23? " * 5_000,
+    ]
+    bench = items(spark, [item, "What is 17 + 23?", ",".join(str(i) for i in range(3_000))])
+    assert found(dc.contaminated(documents(spark, texts), bench)) == {(8, 0), (9, 1)}
+    lined = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(dc.canonical(F.col("t"))).alias("a"), F.size(dc.raw_words(F.col("t"))).alias("b"))
+    assert all(r.a == r.b for r in lined.collect())
