@@ -4,20 +4,27 @@ A byte goes if a WINDOW-byte string over it also starts earlier: in a row with a
 same row. Strings are judged on the input.
 
 Every WINDOW-byte string has an anchor, the position in it of the GRAM-byte string with the least hash (the leftmost
-of equals), which depends on nothing but the string itself; neighbouring strings mostly share one. A cell is a
-maximal run of strings with one anchor. So equal strings lie at the same place in cells with equal anchor grams, and:
-
-1. cells (hashes and positions only) are dealt out by their gram. Of cells with equal contents all but the earliest
-   are repeats as a whole. Cells whose gram no other content has need no more work;
-2. of the others, the earliest of each content is read from its text, cut into the part whose strings reach
-   further left and the part whose strings reach further right of the anchor, and dealt out by gram and neighbouring
-   bytes, so that a common gram is spread (one with more than HOT contents is settled by aggregation). There the strings are put in suffix order (their positions
-   sorted by content, capped at WINDOW bytes), and a string has an earlier match, i.e. its longest previous factor
-   is WINDOW or more, if the previous or the next smaller position in suffix order lies within the same run of
-   common prefixes of WINDOW or more.
+of equals; ANCHOR_BITS of the hash count), which depends on nothing but the string itself; neighbouring strings mostly
+share one. A cell is a maximal run of strings with one anchor. So equal strings lie at the same place in cells with
+equal anchor grams, and the longest previous factor is found in two steps, as when suffixes are sorted by naming
+substrings first:
+
+1. cells (hashes and positions only) are dealt out by their gram and named by their content. In the order of names, the
+   positions of one name are a run with common prefixes of WINDOW or more, and the previous smaller position in it is
+   an earlier match for all strings of the cell; all but the earliest cell of a name are thus repeats as a whole. A
+   name is 96 bits of hash with the strings and the anchor's place; the bytes behind equal names are not compared
+   again. Cells whose gram no other name has need no more work;
+2. of the others, the earliest of each name is read from its text, cut into the part whose strings reach
+   further left and the part whose strings reach further right of the anchor, and dealt out by the bytes that all of
+   the part's strings hold. There the strings are put in suffix order (their positions sorted by content, capped at
+   WINDOW bytes), and a string has an earlier match, i.e. its longest previous factor is WINDOW or more, if the
+   previous or the next smaller position in suffix order lies within the same run of common prefixes of WINDOW or
+   more. The strings of a gram with more than HOT names (the edge of a passage that a third of all documents hold) are
+   no one task's work: their suffix order is a sort over the cluster, with the same test on neighbours.
 
 A slice of texts sends each content once and settles its own repeats. No text is shuffled in step 1; in step 2 and
-in the end the same exchange of texts serves both.
+in the end the same exchange of texts serves both. Groups of grams grow in number with the input; they are sorted, one
+after the other, within at most MOST_PARTITIONS partitions, and a worker holds HELD_BYTES of a group at a time.
 
 Defined cases: a null text is empty; a null doc_id comes before all others; rows that share a doc_id are told apart
 and ordered by their place in the input (which is written first unless it only reads files); texts shorter than WINDOW lose
@@ -28,6 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -40,36 +48,20 @@ GRAM = 32
 #: Bytes of text for each group of grams, and of cell parts that are put in order at once.
 GROUP_BYTES = 8 << 20
 ORDER_BYTES = 2 << 20
-#: Contents that may share a gram before its strings are compared one by one, by aggregation.
+MOST_PARTITIONS = 16_384
+#: Bytes of cells of one group that a worker holds before it settles what it has.
+HELD_BYTES = 64 << 20
+#: Names that may share a gram before its strings are put in suffix order over the cluster.
 HOT = 20_000
 _HOT_LEAD = 128
+#: Bits of a gram's hash that choose the anchor; the others hold a position within a stretch.
+ANCHOR_BITS = 44
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _CELL = np.dtype([("content", "<u8"), ("tag", "<u4"), ("n", "u1"), ("lead", "u1"), ("start", "<u4"), ("doc", "<i8"), ("rid", "<i8")])
 _FIRST_DOC = -(1 << 63)
 
 
-def lpf(data: bytes) -> list[int]:
-    """Longest previous factors of a short string: for each position the length of the longest match that starts
-    earlier, from its neighbours with smaller positions in suffix order."""
-    n = len(data)
-    order = sorted(range(n), key=lambda i: data[i:])
-    before, after, stack = [-1] * n, [-1] * n, []
-    for p in order:
-        while stack and stack[-1] > p:
-            after[stack.pop()] = p
-        before[p] = stack[-1] if stack else -1
-        stack.append(p)
-
-    def common(a: int, b: int) -> int:
-        k = 0
-        while a >= 0 and b + k < n and data[a + k] == data[b + k]:
-            k += 1
-        return k
-
-    return [max(common(before[p], p), common(after[p], p)) for p in range(n)]
-
-
 def _doubled(buf: np.ndarray) -> dict[int, np.ndarray]:
     """Hashes of the strings of 32 and 64 bytes at every position, by doubling."""
     at, size, out = tk.BYTE_VALUES[buf], 1, {}
@@ -82,6 +74,23 @@ def _doubled(buf: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
+#: Strings whose anchors are looked for at once; with the grams of the last one they fit the bits of a position.
+_STRETCH = (1 << 64 - ANCHOR_BITS) - WINDOW
+
+
+def _anchors(gram: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least of each `span` hashes by their first ANCHOR_BITS, the leftmost of equals."""
+    bits = np.uint64(64 - ANCHOR_BITS)
+    least = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
+    size = 1
+    while size * 2 <= span:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if span > size:
+        least = np.minimum(least[: -(span - size)], least[span - size :])
+    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
 def cells(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, start, strings, anchor - start, gram hash, content hash) of every cell of the texts."""
     count = len(buf) - WINDOW + 1
@@ -90,16 +99,8 @@ def cells(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         return empty, empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     hashes = _doubled(buf)
     gram = tk.mix(hashes[GRAM])
-    bits = np.uint64(max(1, int(len(gram)).bit_length()))
-    least = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
     span = WINDOW - GRAM + 1
-    size = 1
-    while size * 2 <= span:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if span > size:
-        least = np.minimum(least[: -(span - size)], least[span - size :])
-    anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    anchor = np.concatenate([_anchors(gram[a : a + _STRETCH + span - 1], span) + a for a in range(0, count, _STRETCH)])
     ok = np.zeros(count, bool)
     full = np.flatnonzero(np.diff(offsets) >= WINDOW)
     edges = np.zeros(count + 1, np.int64)
@@ -146,10 +147,9 @@ def _sent_cells(docs: DataFrame, groups: int) -> DataFrame:
                 got["content"], got["tag"], got["n"], got["lead"] = content, (gram >> np.uint64(32)).astype(np.uint32), n, lead
                 got["start"], got["doc"], got["rid"] = start - offsets[row], ids[at:end][row], rids[at:end][row]
                 group = (gram % np.uint64(groups)).astype(np.int64)
-                order = np.lexsort((got["start"], got["rid"], got["doc"], content, group))
+                order = np.lexsort((got["start"], got["rid"], got["doc"], got["tag"], content, group))
                 got, group = got[order], group[order]
-                again = np.zeros(len(got), bool)
-                again[1:] = (got["content"][1:] == got["content"][:-1]) & (group[1:] == group[:-1])
+                again = _same_name(got) & np.append(False, group[1:] == group[:-1])
                 bounds = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
                 keys, new, done = group[bounds], [], []
                 for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(got)], strict=True):
@@ -176,12 +176,19 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out
 
 
+def _same_name(got: np.ndarray) -> np.ndarray:
+    """Whether each cell has the name of the one before it."""
+    out = np.zeros(len(got), bool)
+    out[1:] = np.logical_and.reduce([got[f][1:] == got[f][:-1] for f in ("content", "tag", "n", "lead")])
+    return out
+
+
 def _judge(got: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which cells of a group repeat an earlier content, which earliest cells share a gram with another content, and
-    which of these with more than `most` contents."""
-    order = np.lexsort((got["start"], got["rid"], got["doc"], got["content"]))
+    """Which cells of a group repeat an earlier one of their name, which earliest cells share a gram with another name,
+    and which of these with more than `most` names."""
+    order = np.lexsort((got["start"], got["rid"], got["doc"], got["tag"], got["content"]))
     repeat = np.zeros(len(got), bool)
-    repeat[order[1:]] = got["content"][order[1:]] == got["content"][order[:-1]]
+    repeat[order] = _same_name(got[order])
     first = np.flatnonzero(~repeat)
     _, which, count = np.unique(got["tag"][first], return_inverse=True, return_counts=True)
     shared, hot = np.zeros(len(got), bool), np.zeros(len(got), bool)
@@ -190,37 +197,69 @@ def _judge(got: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return repeat, shared, hot
 
 
+def _rows_out(part: np.ndarray, lead: np.ndarray):
+    for a in range(0, len(part), 50_000):
+        p = part[a : a + 50_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(p["rid"]), pa.array(p["start"].astype(np.int64)), pa.array(p["n"].astype(np.int32)), pa.array(lead[a : a + 50_000].astype(np.int32))],
+            names=["rid", "start", "n", "lead"],
+        )
+
+
+class _Group:
+    """The cells of one group of grams as they come in; what is held stays near HELD_BYTES."""
+
+    def __init__(self):
+        self.parts, self.size, self.hot = [], 0, np.zeros(0, np.uint32)
+
+    def take(self, new: bytes, done: bytes):
+        if done:
+            old = _unpacked(done)
+            yield from _rows_out(old, np.full(len(old), -1))
+        self.parts.append(_unpacked(new))
+        self.size += len(new)
+        if self.size >= HELD_BYTES:
+            yield from self._settle(False)
+
+    def end(self):
+        if self.parts:
+            yield from self._settle(True)
+
+    def _settle(self, last: bool):
+        """Repeats go out; so do the cells of hot grams, whose strings are all compared later. The other earliest ones
+        stay until the group's last."""
+        got = np.concatenate(self.parts)
+        # a gram found hot before: all its cells are compared string by string, none is left out
+        known = np.isin(got["tag"], self.hot)
+        yield from _rows_out(got[known], got["lead"][known].astype(np.int64) + _HOT_LEAD)
+        got = got[~known]
+        repeat, shared, hot = _judge(got, HOT)
+        yield from _rows_out(got[repeat], np.full(int(repeat.sum()), -1))
+        yield from _rows_out(got[hot], got["lead"][hot].astype(np.int64) + _HOT_LEAD)
+        self.hot = np.union1d(self.hot, got["tag"][hot])
+        if last:
+            rest = shared & ~hot
+            yield from _rows_out(got[rest], got["lead"][rest].astype(np.int64))
+            return
+        kept = got[~repeat & ~hot]
+        self.parts, self.size = [kept], kept.nbytes // 2
+
+
 def _settled(sent: DataFrame, groups: int) -> DataFrame:
     """(rid, start, n, lead): repeats with lead -1, and cells still to be compared with their lead, more by _HOT_LEAD
     where the gram is hot."""
 
-    def rows(parts: list[bytes], done: list[bytes]):
-        got = np.concatenate([_unpacked(p) for p in parts])
-        parts.clear()
-        repeat, shared, hot = _judge(got, HOT)
-        old = np.concatenate([got[repeat], *(_unpacked(d) for d in done if d)])
-        done.clear()
-        for part, lead in ((old, np.full(len(old), -1)), (got[shared], got["lead"][shared] + _HOT_LEAD * hot[shared].astype(np.int64))):
-            for a in range(0, len(part), 50_000):
-                p = part[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(p["rid"]), pa.array(p["start"].astype(np.int64)), pa.array(p["n"].astype(np.int32)), pa.array(lead[a : a + 50_000].astype(np.int32))],
-                    names=["rid", "start", "n", "lead"],
-                )
-
     def run(batches):
-        now, parts, done = None, [], []
+        now, group = None, _Group()
         for batch in batches:
-            for group, new, old in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if group != now and parts:
-                    yield from rows(parts, done)
-                now = group
-                parts.append(new)
-                done.append(old)
-        if parts:
-            yield from rows(parts, done)
-
-    dealt = sent.repartition(groups, "grp").sortWithinPartitions("grp")
+            for name, new, old in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if name != now:
+                    yield from group.end()
+                    now, group = name, _Group()
+                yield from group.take(new, old)
+        yield from group.end()
+
+    dealt = sent.repartition(min(groups, MOST_PARTITIONS), "grp").sortWithinPartitions("grp")
     return arrow_map(dealt, run, "rid long, start long, n int, lead int", 32)
 
 
@@ -246,7 +285,7 @@ def _cell_parts(texts: DataFrame) -> DataFrame:
             for at in range(0, len(out), 10_000):
                 side, near, *rest = zip(*out[at : at + 10_000], strict=True)
                 sizes = np.cumsum([0, *map(len, near)])
-                place = tk.range_hashes(tk.BYTE_VALUES[np.frombuffer(b"".join(near), np.uint8)], sizes[:-1], sizes[1:]) ^ np.array(side, np.uint64)
+                place = tk.strings_of(np.frombuffer(b"".join(near), np.uint8), sizes[:-1], sizes[1:]).hash ^ np.array(side, np.uint64)
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))], names=["place", "rid", "doc", "start", "n", "data"])
 
@@ -256,23 +295,47 @@ def _cell_parts(texts: DataFrame) -> DataFrame:
 def _hot_matches(texts: DataFrame) -> DataFrame:
     """(rid, start, n): strings with an earlier match among the cells of hot grams.
 
-    A gram that very many contents share (the edge of a passage that a third of all documents hold) is not one
-    task's work: its strings are rows, the earliest of each is found by an aggregation that combines before its
-    shuffle, and the others are told by a join, whose large keys adaptive execution splits.
+    Their suffix order is made by the cluster: strings are rows, dealt out by ranges of (string, position) and sorted.
+    Equal strings then follow each other by position, across ranges too, so a string has a previous smaller position
+    with a common prefix of WINDOW if and only if it equals the one before it. What stands at the edges of ranges, a
+    row or two for each, is compared on the driver.
     """
 
-    def run(batches):
+    def strings(batches):
         for batch in batches:
             for rid, doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("__rid", "__doc", "text", "__cells")), strict=True):
                 data = text.encode()
                 at = [p for c in wanted for p in range(c["start"], c["start"] + c["n"])]
-                columns = [pa.array([rid] * len(at), pa.int64()), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([data[p : p + WINDOW] for p in at], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc", "start", "data"])
+                for a in range(0, len(at), 10_000):
+                    some = at[a : a + 10_000]
+                    columns = [pa.array([rid] * len(some), pa.int64()), pa.array([doc] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([data[p : p + WINDOW] for p in some], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc", "start", "data"])
 
-    rows = arrow_map(texts, run, "rid long, doc long, start long, data binary", 256)
-    place = F.struct("doc", "rid", "start")
-    first = rows.groupBy("data").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    return rows.join(first, "data").where(place > F.col("first")).select("rid", "start", F.lit(1).alias("n"))
+    def compare(batches):
+        before, me = None, TaskContext.get().partitionId()
+        for batch in batches:
+            data = batch.column(3).to_pylist()
+            hit = [a == b for a, b in zip([before, *data[:-1]], data, strict=True)]
+            # the first row of a range awaits the last string of the one before
+            edge = [data[0] if before is None and i == 0 else None for i in range(len(data))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hit), pa.array([me] * len(data), pa.int32()), pa.array(edge, pa.binary()), pa.nulls(len(data), pa.binary())], names=names)
+            before = data[-1]
+        if before is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([False]), pa.array([me], pa.int32()), pa.nulls(1, pa.binary()), pa.array([before], pa.binary())], names=names)
+
+    names = ["rid", "start", "hit", "part", "head", "tail"]
+    order = ["data", "doc", "rid", "start"]
+    rows = arrow_map(texts, strings, "rid long, doc long, start long, data binary", 256)
+    spark = texts.sparkSession
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    found = materialize(arrow_map(ranged.select("rid", "doc", "start", "data"), compare, "rid long, start long, hit boolean, part int, head binary, tail binary", 4096), "suffix-hot")
+    # two rows per range
+    heads = {r.part: r for r in found.where("head IS NOT NULL").collect()}
+    tails = {r.part: bytes(r.tail) for r in found.where("tail IS NOT NULL").select("part", "tail").collect()}
+    parts = sorted(tails)
+    more = [(heads[b].rid, heads[b].start) for a, b in zip(parts[:-1], parts[1:], strict=True) if bytes(heads[b].head) == tails[a]]
+    out = found.where("hit").select("rid", "start")
+    return out.unionByName(spark.createDataFrame(more, "rid long, start long")).select("rid", "start", F.lit(1).alias("n"))
 
 
 def earlier_matches(data: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -402,7 +465,7 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     columns = docs.columns
     docs = _repeatable(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(4, -(-total // GROUP_BYTES))
+    groups = max(4, -(-total // GROUP_BYTES))  # of grams; they share at most MOST_PARTITIONS partitions
     numbered = _numbered(docs)
     settled = materialize(_settled(_sent_cells(numbered, groups), groups), "suffix-settled")
 

@@ -81,10 +81,62 @@ def test_texts_stay_text(spark):
     assert len(out[1][0]) == out[1][1] < 10
 
 
+def lpf(data: bytes) -> list[int]:
+    """Longest previous factors of a short string: for each position the length of the longest match that starts
+    earlier, from its neighbours with smaller positions in suffix order."""
+    n = len(data)
+    order = sorted(range(n), key=lambda i: data[i:])
+    before, after, stack = [-1] * n, [-1] * n, []
+    for p in order:
+        while stack and stack[-1] > p:
+            after[stack.pop()] = p
+        before[p] = stack[-1] if stack else -1
+        stack.append(p)
+
+    def common(a: int, b: int) -> int:
+        k = 0
+        while a >= 0 and b + k < n and data[a + k] == data[b + k]:
+            k += 1
+        return k
+
+    return [max(common(before[p], p), common(after[p], p)) for p in range(n)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2), max_size=60), st.integers(1, 20))
 def test_earlier_matches_are_the_longest_previous_factors(letters, window):
     data = bytes(97 + x for x in letters)
     at = np.arange(max(0, len(data) - window + 1))
     found = sx.earlier_matches(np.frombuffer(data, np.uint8), at, window)
-    assert found.tolist() == [x >= window for x in sx.lpf(data)[: len(at)]]
+    assert found.tolist() == [x >= window for x in lpf(data)[: len(at)]]
+
+
+def test_anchors_depend_on_the_string_alone(monkeypatch):
+    rng = np.random.default_rng(8)
+    # a hash of few values, so that nearly every string holds ties
+    monkeypatch.setattr(sx.tk, "mix", lambda h: (h % np.uint64(5)) << np.uint64(62))
+    passage = rng.integers(97, 123, 400).astype(np.uint8)
+
+    def anchors(before, after):
+        buf = np.concatenate([rng.integers(97, 123, before).astype(np.uint8), passage, rng.integers(97, 123, after).astype(np.uint8)])
+        _, start, n, lead, *_ = sx.cells(buf, np.array([0, len(buf)]))
+        place = np.repeat(start + lead, n)
+        return (place[before : before + 301] - before).tolist()
+
+    want = anchors(0, 0)
+    assert anchors(700, 3) == want and anchors(5, 90_000) == want and anchors((1 << 20) - 350, 200_000) == want
+
+
+def test_a_group_settles_what_it_holds(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(9))
+    core = "".join(word() for _ in range(15))
+    texts = ["".join(word() for _ in range(rng.randint(2, 12))) + core + "".join(word() for _ in range(6)) for _ in range(120)]
+    texts += texts[:20] + [core + "same tail " * 12] * 3
+    want = brute(list(enumerate(texts)))
+    for held, hot in ((1, 5), (2_000, 5), (2_000, 20_000), (1 << 26, 5)):
+        monkeypatch.setattr(sx, "HELD_BYTES", held)
+        monkeypatch.setattr(sx, "HOT", hot)
+        monkeypatch.setattr(sx, "GROUP_BYTES", 5_000)
+        monkeypatch.setattr(sx, "MOST_PARTITIONS", 3)
+        assert got(spark, documents(spark, texts).repartition(6)) == want
