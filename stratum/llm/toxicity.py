@@ -1,15 +1,16 @@
 """Toxicity by a convolutional text classifier, trained here in numpy.
 
 Words (runs of ASCII letters and non-ASCII bytes, ASCII folded) are hashed into 2**HASH_BITS places; a place that
-occurs in LEAST_DOCS training texts (or LEAST_SHARE of them) or more has an embedding, others are zero. Filters of several widths run over
+occurs in LEAST_DOCS training texts or more has an embedding, others are zero. Filters of several widths run over
 the embeddings, each is max-pooled over the whole text, and a logistic layer weighs them. Thresholds are calibrated
 by language: the text's language is told from its own function words (never from the lang column), and out-of-fold
 logits of the training rows set each language's threshold, drawn towards the common one where a language has few
 positives. The score is the logistic of the distance to that threshold, so 0.5 is the decision.
 
-Learnt from at most MOST_LABELLED labelled rows, those of least hash of their id among the ids whose CRC-32 modulo
-FOLDS is not 0, of texts of at most MOST_BYTES; the bound is what the driver holds. Scoring covers whole texts of
-all rows and is one pass without a shuffle.
+Learnt from at most MOST_LABELLED labelled rows, those of least hash of their id among the rows whose CRC-32 of the id
+modulo FOLDS is not 0, as whole texts of any length; in that order they are taken until LEARNT_BYTES are full, the
+row that fills them included, as the driver holds them. Scoring covers whole texts of all rows and is one pass without
+a shuffle.
 
 Defined cases: a null or empty text has no words and gets the score of the bias; labels without a document, null
 labels and null ids are not learnt from, a doc_id labelled twice counts as toxic if one label says so; without both
@@ -30,10 +31,9 @@ from stratum.llm.common import arrow_map, table
 
 FOLDS = 5
 MOST_LABELLED = 8000
-MOST_BYTES = 64 << 10
+LEARNT_BYTES = 128 << 20
 HASH_BITS = 28
 LEAST_DOCS = 3
-LEAST_SHARE = 0.002
 DIMENSIONS = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -62,7 +62,7 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Place and row of every word."""
     solid = np.where(_IN_WORD[buf], _FOLD[buf], 32).astype(np.uint8)
     starts, ends = tk.words(solid, offsets)
-    return (tk.range_hashes(tk.BYTE_VALUES[solid], starts, ends) >> np.uint64(64 - HASH_BITS)).astype(np.int64), tk.rows_of(starts, offsets)
+    return (tk.strings_of(solid, starts, ends).hash >> np.uint64(64 - HASH_BITS)).astype(np.int64), tk.rows_of(starts, offsets)
 
 
 def _places_of(language: str) -> np.ndarray:
@@ -232,7 +232,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 
     def known(some) -> np.ndarray:
         place, count = np.unique(np.concatenate([np.unique(bags[i]) for i in some]), return_counts=True)
-        return place[count >= max(LEAST_DOCS, LEAST_SHARE * len(some))]
+        return place[count >= LEAST_DOCS]
 
     rng = np.random.default_rng(seed)
     fold = rng.permutation(len(bags)) % CROSS_FOLDS
@@ -256,13 +256,22 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list[str], np.ndarray]:
-    """Texts and labels to learn from; at most `most` ids are chosen before any text is read."""
+def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_bytes: int = LEARNT_BYTES) -> tuple[list[str], np.ndarray]:
+    """Texts and labels to learn from; the rows are chosen by id and size before any text leaves its task."""
     ids = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    ids = ids.where(~_held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.octet_length("text") <= MOST_BYTES)
-    rows = texts.join(F.broadcast(ids), "id").orderBy(F.xxhash64("id"), "id", "text").limit(2 * most).collect()  # ids are `most` at most
-    return [r.text for r in rows], np.array([r.toxic for r in rows], np.float64)
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").where(~_held_out(F.col("id")))
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    order = [F.xxhash64("id"), "id", "key"]
+    # equal rows are one; `most` narrow rows at most reach the driver
+    first = rows.select("id", "key", F.octet_length("text").cast("long").alias("bytes")).join(ids, "id").distinct().orderBy(*order).limit(most).collect()
+    before = np.cumsum([0] + [r["bytes"] for r in first])[:-1]
+    chosen = [(r["id"], r["key"], r["toxic"]) for r, b in zip(first, before, strict=True) if b < most_bytes]
+    if not chosen:
+        return [], np.zeros(0)
+    wanted = docs.sparkSession.createDataFrame(chosen, "id long, key long, toxic int")
+    got = rows.join(F.broadcast(wanted), ["id", "key"]).groupBy("id", "key", "toxic").agg(F.first("text").alias("text"))  # `most` rows of 20 bytes
+    texts = {(r["id"], r["key"]): r["text"] for r in got.collect()}
+    return [texts[i, k] for i, k, _ in chosen], np.array([t for *_, t in chosen], np.float64)
 
 
 def _held_out(doc_id: Column) -> Column:

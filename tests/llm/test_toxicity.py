@@ -69,13 +69,18 @@ def test_degenerate_and_awkward_rows(spark):
 
 
 def test_sample_leaves_out_held_out_rows(spark):
-    docs = documents(spark, [f"text {i}" for i in range(300)] + ["x" * 70000], ids=[*range(300), 300])
+    long = next(i for i in range(300, 320) if zlib.crc32(str(i).encode()) % 5)
+    docs = documents(spark, [f"text {i}" for i in range(300)] + ["x" * 70000, "text 1"], ids=[*range(300), long, 1])
     labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(320)] + [(1, True), (None, True)], "doc_id long, toxic boolean").selectExpr("doc_id", "cast(toxic as int) toxic").unionByName(spark.sql("select 2L doc_id, cast(null as int) toxic"))
     texts, y = tx.sample(docs, labels)
     want = {f"text {i}": int(i % 3 == 0 or i == 1) for i in range(300) if zlib.crc32(str(i).encode()) % 5}
-    assert dict(zip(texts, y.astype(int).tolist(), strict=True)) == want
-    # some of the 50 ids have no text, or too long a one
-    assert 40 <= len(tx.sample(docs, labels, 50)[0]) <= 50
+    assert dict(zip(texts, y.astype(int).tolist(), strict=True)) == want | {"x" * 70000: int(long % 3 == 0)}
+    # ids without a text take no place, nor do repeated rows
+    assert len(texts) == len(want) + 1 and len(tx.sample(docs, labels, 50)[0]) == 50
+    # bytes are counted in the same order, and the row that fills them is the last
+    some = tx.sample(docs, labels, most_bytes=100)[0]
+    assert some == texts[: len(some)] and sum(map(len, some[:-1])) < 100 <= sum(map(len, some))
+    assert tx.sample(docs.limit(0), labels)[0] == [] and tx.sample(docs, labels.limit(0))[0] == []
 
 
 def test_held_out_accuracy(spark):
