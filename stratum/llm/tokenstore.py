@@ -11,8 +11,8 @@ Layout below the store's folder:
     recipes/            doc_id, n_tokens, chunks, after, root, run, local_start (Parquet), in ascending doc_id order by run
     manifest/           run, start, n_tokens, root of the run, root of the table (Parquet)
 
-Writing encodes each text once. Tasks write packs without their own repeats; then every digest found in several
-packs gets one owner, the owned chunks are copied to the final packs, and the first packs are deleted.
+Writing encodes each text once. Tasks write packs without their own repeats into a folder first/; then every digest
+found in several packs gets one owner, the owned chunks are copied to the final packs, and first/ is deleted.
 Reading takes each stored chunk once, checks its digest, and combines the chunks' checksums along the recipes, so
 no id crosses the network.
 
@@ -49,6 +49,8 @@ DIGEST_BYTES = 20
 MAGIC = b"CIDS"
 #: Chunks of one pack within the same block of this size go to one reader.
 BLOCK_BYTES = 8 << 20
+#: Bytes of ids whose recipes make one run.
+RUN_BYTES = 1 << 30
 
 _CRC_POLY = 0xEDB88320
 _ID_MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -82,12 +84,34 @@ def cuts(ids: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
     return out
 
 
+class Merkle:
+    """Root of a binary hash tree over leaves that come one by one; only the roots of full subtrees are held. The leaves
+    and the inner nodes are told apart by a first byte; a node without a neighbour moves up as it is."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[int, bytes]] = []
+
+    def add(self, digest: bytes) -> None:
+        height, node = 0, hashlib.sha256(b"\0" + digest).digest()
+        while self.held and self.held[-1][0] == height:
+            node = hashlib.sha256(b"\1" + self.held.pop()[1] + node).digest()
+            height += 1
+        self.held.append((height, node))
+
+    def root(self) -> bytes:
+        if not self.held:
+            return hashlib.sha256(b"").digest()
+        node = self.held[-1][1]
+        for _, left in reversed(self.held[:-1]):
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
 def merkle(digests: list[bytes]) -> bytes:
-    """Root of a binary hash tree; the leaves and the inner nodes are told apart by a first byte."""
-    level = [hashlib.sha256(b"\0" + d).digest() for d in digests] or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    tree = Merkle()
+    for d in digests:
+        tree.add(d)
+    return tree.root()
 
 
 def chunk_digest(data: bytes) -> bytes:
@@ -98,7 +122,7 @@ class _Pack:
     """A pack file of one task attempt."""
 
     def __init__(self, folder: str, width: int):
-        self.fs, root = local_fs(f"{folder}/packs")
+        self.fs, root = local_fs(folder)
         self.fs.create_dir(root, recursive=True)
         self.name = f"{uuid.uuid4().hex}.pack"
         self.path = f"{root}/{self.name}"
@@ -124,7 +148,7 @@ def _encode(docs: DataFrame, folder: str, path: str, end_id: int, width: int) ->
                 flat, sizes = ids_of.encode(buf, offsets)
                 flat = np.insert(flat, np.cumsum(sizes), np.uint32(end_id))
                 sizes = sizes + 1
-                pack = pack or _Pack(folder, width)
+                pack = pack or _Pack(f"{folder}/first", width)
                 data, start, rows = flat.astype(kind).tobytes(), 0, []
                 for n, ends in zip(sizes.tolist(), cuts(flat, sizes), strict=True):
                     digests, lengths, after, places, last = [], [], [], [], 0
@@ -156,14 +180,14 @@ def _compact(owned: DataFrame, total: int, folder: str, width: int) -> DataFrame
     """Copies the owned chunks of each task's packs into new packs; returns the index."""
 
     def run(batches):
-        fs, root = local_fs(f"{folder}/packs")
+        fs, root = local_fs(f"{folder}/first")
         pack, name, src = None, None, None
         for batch in batches:
             rows = []
             for digest, old, place, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if old != name:
                     name, src = old, fs.open_input_file(f"{root}/{old}")
-                pack = pack or _Pack(folder, width)
+                pack = pack or _Pack(f"{folder}/packs", width)
                 data = src.read_at(n * width, place)
                 if chunk_digest(data) != digest:
                     raise ValueError(f"damaged chunk in {old} at {place}")
@@ -179,27 +203,29 @@ def _compact(owned: DataFrame, total: int, folder: str, width: int) -> DataFrame
     return arrow_map(rows, run, "digest binary, pack string, place long, ids int", 4096)
 
 
-def _runs(recipes: DataFrame) -> DataFrame:
+def _runs(recipes: DataFrame, total: int) -> DataFrame:
     """Recipes in ascending doc_id order: run (the range they fall in), local_start (ids before them in it), and on
     its last row the run's Merkle root over its documents."""
 
     def run(batches):
-        at, me, roots, held = 0, TaskContext.get().partitionId(), [], None
+        at, me, roots, held = 0, TaskContext.get().partitionId(), Merkle(), None
         for batch in batches:
             if held is not None:
                 yield held
             n = batch.column("n_tokens").to_numpy()
             start = at + np.cumsum(n) - n
             at += int(n.sum())
-            roots += batch.column("root").to_pylist()
+            for root in batch.column("root").to_pylist():
+                roots.add(root)
             held = pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), me)), pa.array(start), pa.nulls(len(n), pa.binary())], names=[*batch.schema.names, "run", "local_start", "run_root"])
         if held is not None:
-            last = pa.array([None] * (held.num_rows - 1) + [merkle(roots)], pa.binary())
+            last = pa.array([None] * (held.num_rows - 1) + [roots.root()], pa.binary())
             yield pa.RecordBatch.from_arrays([*held.columns[:-1], last], names=held.schema.names)
 
     # ranges are cut by id and root, so rows that share an id may be dealt out too
     order = [F.col("doc_id").asc_nulls_first(), F.col("root")]
-    n = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as the ids ask for: a recipe has about a 25th of their bytes
+    n = max(int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt(4 * total, RUN_BYTES))
     ranged = recipes.repartitionByRange(n, *order).sortWithinPartitions(*order)
     schema = StructType([*recipes.schema.fields]).add("run", "long").add("local_start", "long").add("run_root", "binary")
     return arrow_map(ranged, run, schema, 4096)
@@ -215,13 +241,12 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -
     owners = placed.groupBy("digest").agg(F.min(F.struct("pack", "place", "ids")).alias("o")).select("digest", "o.*")
     total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     _compact(owners, total, folder, width).write.parquet(f"{folder}/index")
-    fs, root = local_fs(f"{folder}/packs")
-    for row in encoded.select("pack").distinct().toLocalIterator():  # one name per task that encoded
-        fs.delete_file(f"{root}/{row.pack}")
-    _runs(encoded.select("doc_id", "n_tokens", "chunks", "after", "root")).write.parquet(f"{folder}/recipes")
+    first = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/first")
+    first.getFileSystem(spark._jsc.hadoopConfiguration()).delete(first, True)
+    _runs(encoded.select("doc_id", "n_tokens", "chunks", "after", "root"), total).write.parquet(f"{folder}/recipes")
     drop_materialized(encoded)
 
-    # a row per range: as many as there are shuffle partitions
+    # a row per run
     recipes = spark.read.parquet(f"{folder}/recipes")
     per_run = recipes.groupBy("run").agg(F.sum("n_tokens").alias("n"), F.max("run_root").alias("root")).orderBy("run").collect()
     rows, at = [], 0
