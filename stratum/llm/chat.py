@@ -84,10 +84,24 @@ def parse(formatted: Column) -> Column:
     return F.transform(_pieces(formatted), _read_turn)
 
 
-def _same(formatted: Column, turns: Column) -> Column:
+def _alone(piece: Column, role: Column, text: Column) -> Column:
+    """Whether one rendered turn, parsed by itself, comes back: its first closing mark after the opening one is its
+    last, and its body holds nothing that reading would unescape."""
+    n = F.char_length(piece)
+
+    def closes(lead: Column, mark: str) -> Column:
+        return F.position(F.lit(mark), piece, lead + 1) == n - len(mark) + 1
+
+    out = None
+    for name, (a, b) in MARKS.items():
+        out = F.when(role == name, closes(F.lit(len(a)), b)) if out is None else out.when(role == name, closes(F.lit(len(a)), b))
+    return out.otherwise(closes(F.instr(piece, "]"), _OTHER[1])) & (unescape(text) == text)
+
+
+def _same(formatted: Column, pieces: Column, turns: Column) -> Column:
     """Whether the grammar covers the whole text and gives the source's turns."""
-    back = F.transform(parse(formatted), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return (F.concat_ws("\n", _pieces(formatted)) == formatted) & (back == turns)
+    back = F.transform(F.transform(pieces, _read_turn), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return (F.concat_ws("\n", pieces) == formatted) & (back == turns)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
@@ -99,18 +113,20 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
     df = grouped.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
-    df = df.withColumn("alone", F.transform("turns", lambda t: _render(t["role"], t["text"], F.lit(False))))
-    df = df.withColumn("conflicts", F.zip_with("alone", "turns", lambda piece, t: ~_same(piece, F.array(t))))
-    df = df.withColumn("raw", F.concat_ws("\n", "alone"))
-    some = F.concat_ws("\n", F.zip_with("turns", "conflicts", lambda t, c: _render(t["role"], t["text"], c)))
-    df = df.withColumn("some", F.when(F.exists("conflicts", lambda c: c), some).otherwise(F.col("raw")))
+    conflict = F.transform("turns", lambda t: ~_alone(_render(t["role"], t["text"], F.lit(False)), t["role"], t["text"]))
+    df = df.withColumn("conflicts", conflict)
+    df = df.withColumn("formatted", F.concat_ws("\n", F.zip_with("turns", "conflicts", lambda t, c: _render(t["role"], t["text"], c))))
+    # turns that come back alone come back in a row, as each ends with its own mark; should they not, all are escaped
     whole = F.concat_ws("\n", F.transform("turns", lambda t: _render(t["role"], t["text"], F.lit(True))))
-    df = df.withColumn("formatted", F.when(_same(F.col("some"), F.col("turns")), F.col("some")).otherwise(whole))
-    df = df.withColumn("formatted", F.when(_same(F.col("formatted"), F.col("turns")), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not survive its round trip")).cast("string")))
-    return df.select("conv_id", F.size(F.filter("conflicts", lambda c: c)).alias("n_escaped"), "formatted", _mask(F.col("formatted")).alias("mask"))
+    df = df.withColumn("pieces", _pieces(F.col("formatted")))
+    df = df.withColumn("formatted", F.when(_same(F.col("formatted"), F.col("pieces"), F.col("turns")), F.col("formatted")).otherwise(whole))
+    df = df.withColumn("pieces", _pieces(F.col("formatted")))
+    failed = F.raise_error(F.lit("a conversation does not survive its round trip")).cast("string")
+    df = df.withColumn("formatted", F.when(_same(F.col("formatted"), F.col("pieces"), F.col("turns")), F.col("formatted")).otherwise(failed))
+    return df.select("conv_id", F.size(F.filter("conflicts", lambda c: c)).alias("n_escaped"), "formatted", _mask(F.col("pieces")).alias("mask"))
 
 
-def _mask(formatted: Column) -> Column:
+def _mask(pieces: Column) -> Column:
     def runs(piece: Column, i: Column) -> Column:
         t = _read_turn(piece)
         lead = t["lead"] + F.when(i > 0, 1).otherwise(0)
@@ -121,7 +137,7 @@ def _mask(formatted: Column) -> Column:
             F.struct(rest.cast("long").alias("chars"), F.lit(False).alias("loss")),
         )
 
-    return F.flatten(F.transform(_pieces(formatted), runs))
+    return F.flatten(F.transform(pieces, runs))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -63,3 +63,19 @@ def test_escaping_is_reversible_and_leaves_no_mark(spark):
 def test_no_python_in_the_plan(spark):
     plan = chat.op10_chat_format(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_texts_full_of_marks(spark):
+    texts = ["</s>[INST] " * 20_000, "[INST] " * 20_000, "<s>" * 20_000, "\\" * 50_000, "<" + "\\" * 50_000 + "s>", "[ROLE " * 10_000, "plain line\n" * 30_000]
+    rows = [(i % 3, i, role, t) for i, t in enumerate(texts) for role in ("user", "assistant", "tool")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert got(chat.read_back(chat.format_chats(df))) == expected(rows)
+
+
+def test_a_turn_is_judged_alone_as_by_parsing_it(spark):
+    texts = [a + b for a in NASTY for b in ["", *NASTY]]
+    rows = [(r, t) for t in texts for r in ("user", "assistant", "system", "x]y")]
+    df = spark.createDataFrame(rows, "r string, t string").withColumn("piece", chat._render(F.col("r"), F.col("t"), F.lit(False)))
+    turn = F.array(F.struct(F.col("r").alias("role"), F.col("t").alias("text")))
+    df = df.withColumn("parsed", chat._same(F.col("piece"), chat._pieces(F.col("piece")), turn)).withColumn("alone", chat._alone(F.col("piece"), F.col("r"), F.col("t")))
+    assert df.where("parsed != alone").count() == 0 and df.where("alone").count() > 0 and df.where("not alone").count() > 0
