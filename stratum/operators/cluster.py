@@ -54,30 +54,88 @@ def features(series: DataFrame) -> DataFrame:
     return series.groupBy("template_id").agg(F.transform(rows, lambda r: r["rate"]).alias("feature"))
 
 
-def _distances(pairs: DataFrame) -> DataFrame:
-    """Adds distance to (…, fa, fb), in Arrow batches."""
-
-    @F.pandas_udf("double")
-    def distance(fa: pd.Series, fb: pd.Series) -> pd.Series:
-        return pd.Series([dtw(x, y) for x, y in zip(fa, fb, strict=True)], dtype=float)
-
-    return pairs.withColumn("distance", distance("fa", "fb"))
-
-
-def neighbours(feature_rows: DataFrame, rho: float, blocks: int = 8) -> DataFrame:
+def dtw_below(a: np.ndarray, b: np.ndarray, rho: float) -> np.ndarray:
+    """DTW distances of the pairs (a[:, k], b[:, k]) of unit-length series, one pair a column; infinite where they are
+    known to reach rho, as pairs are given up once every cell of a row of their tables has reached it."""
+    n, m, pairs = len(a), len(b), a.shape[1]
+    out, live = np.full(pairs, np.inf), np.arange(pairs)
+    row = np.full((m, pairs), np.inf)
+    for i in range(n):
+        gaps = np.abs(a[i] - b)
+        here = np.empty_like(row)
+        here[0] = gaps[0] + (row[0] if i else 0)
+        for j in range(1, m):
+            here[j] = gaps[j] + (np.minimum(np.minimum(row[j], row[j - 1]), here[j - 1]) if i else here[j - 1])
+        row = here
+        on = row.min(0) < rho
+        if not on.all():
+            row, a, b, live = row[:, on], a[:, on], b[:, on], live[on]
+            if not len(live):
+                return out
+    out[live] = row[-1]
+    return out
+
+
+#: Templates in a block, and table cells of the pairs that are computed at once.
+BLOCK = 128
+_CELLS = 1 << 21
+
+
+def _near_pairs(ids: np.ndarray, series: list[np.ndarray], blocks: np.ndarray, rho: float) -> list[tuple[int, int, float]]:
+    """The pairs within rho between two blocks, or inside the only one."""
+    sizes, found = np.array([len(x) for x in series]), []
+    left, right = (blocks == blocks.min()), (blocks == blocks.max())
+    for n in np.unique(sizes):
+        for m in np.unique(sizes):
+            x, y = np.flatnonzero(left & (sizes == n)), np.flatnonzero(right & (sizes == m))
+            if not len(x) or not len(y):
+                continue
+            if not n or not m:
+                found += [(ids[i], ids[j], 0.0) for i in x for j in y if n == m and rho > 0 and (blocks.min() != blocks.max() or ids[i] < ids[j])]
+                continue
+            a, b = np.stack([series[i] for i in x], 1), np.stack([series[j] for j in y], 1)
+            # every path holds both corners of the table, so their cells are a lower bound
+            least = np.abs(a[0][:, None] - b[0][None, :])
+            if n > 1 or m > 1:
+                least = least + np.abs(a[-1][:, None] - b[-1][None, :])
+            close = least < rho
+            if blocks.min() == blocks.max():
+                close &= ids[x][:, None] < ids[y][None, :]
+            i, j = np.nonzero(close)
+            step = max(1, _CELLS // int(m))
+            for at in range(0, len(i), step):
+                p, q = i[at : at + step], j[at : at + step]
+                d = dtw_below(a[:, p], b[:, q], rho)
+                found += [(ids[x[p[k]]], ids[y[q[k]]], float(d[k])) for k in np.flatnonzero(d < rho)]
+    return found
+
+
+def neighbours(feature_rows: DataFrame, rho: float, blocks: int | None = None) -> DataFrame:
     """(a, b, distance) of all template pairs a < b with distance below rho.
 
-    A stated set of templates against itself, in blocks: each pair of blocks is one unit of work, so the work is dealt
-    evenly and no task holds more than two blocks.
+    A stated set of templates against itself, in blocks (of about BLOCK, unless their number is given): a template goes
+    to the units of its block with every block, and each unit, once dealt out, bounds its pairs from below, computes
+    those that may be near and returns those that are. No task holds more than two blocks, and no pair is a row before
+    it is near.
     """
-    rows = feature_rows.withColumn("blk", F.pmod(F.xxhash64("template_id"), F.lit(blocks)))
-    spark = feature_rows.sparkSession
-    units = spark.range(blocks).select(F.col("id").alias("ba")).join(spark.range(blocks).select(F.col("id").alias("bb")), F.col("ba") <= F.col("bb"))
-    left = units.join(rows.select(F.col("template_id").alias("a"), F.col("feature").alias("fa"), F.col("blk").alias("ba")), "ba")
-    right = rows.select(F.col("template_id").alias("b"), F.col("feature").alias("fb"), F.col("blk").alias("bb"))
-    pairs = left.join(right, "bb").where((F.col("ba") < F.col("bb")) | (F.col("a") < F.col("b")))
-    out = _distances(pairs.select("a", "b", "fa", "fb").repartition("a", "b")).where(F.col("distance") < rho)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    rows = written(feature_rows.select(F.col("template_id").cast("long").alias("template_id"), "feature"), "features")
+    if blocks is None:
+        blocks = max(1, -(-rows.count() // BLOCK))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("template_id"), F.lit(blocks)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    units = rows.withColumn("with", other).withColumn("lo", F.least("blk", "with")).withColumn("hi", F.greatest("blk", "with"))
+
+    def near(held: pd.DataFrame) -> pd.DataFrame:
+        own = held["blk"].to_numpy()
+        if held["lo"].iloc[0] != held["hi"].iloc[0] and own.min() == own.max():
+            return pd.DataFrame({"a": [], "b": [], "distance": []})
+        got = _near_pairs(held["template_id"].to_numpy(), [unit(x) for x in held["feature"]], own, rho)
+        return pd.DataFrame(got, columns=["a", "b", "distance"])
+
+    # units are few and cheap to send but dear to compute, so they are dealt out by number, not by size
+    units = units.repartition(min(blocks * (blocks + 1) // 2, 4096), "lo", "hi")
+    found = units.groupBy("lo", "hi").applyInPandas(near, "a long, b long, distance double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
 def dbscan(templates: DataFrame, near: DataFrame, min_points: int = 1) -> DataFrame:
@@ -86,6 +144,7 @@ def dbscan(templates: DataFrame, near: DataFrame, min_points: int = 1) -> DataFr
     A template is core with min_points neighbours or more; one that is near no core, singletons included, is a
     cluster of its own; one near several joins its least core's. With min_points 1 these are the connected components.
     """
+    near = written(near.select("a", "b"), "dbscan-near")
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count("*").alias("n"))
     core = degree.where(F.col("n") >= min_points).select(F.col("a").alias("template_id"))

@@ -11,11 +11,14 @@ _own: str | None = None
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder named in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and all work is
+    local."""
     global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="stratum-")
     return _own

@@ -49,6 +49,22 @@ def test_neighbours_find_every_pair_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_bounded_tables_give_the_distances(spark):
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (1, 4), (5, 5), (9, 6)):
+        x, y = rng.random((n, 40)), rng.random((m, 40))
+        x, y = x / np.sqrt((x * x).sum(0)), y / np.sqrt((y * y).sum(0))
+        want = np.array([slow_dtw(x[:, k], y[:, k]) for k in range(40)])
+        for rho in (np.inf, float(np.median(want))):
+            got = cl.dtw_below(x, y, rho)
+            assert np.allclose(got[want < rho], want[want < rho]) and (got[want >= rho] >= rho).all()
+    features = {i: rng.random(int(rng.integers(0, 5))) for i in range(40)} | {90: np.zeros(3), 91: np.zeros(3)}
+    want = {(a, b) for a in features for b in features if a < b and cl.dtw(features[a], features[b]) < 0.3}
+    for blocks in (1, 4):
+        assert {(r.a, r.b) for r in cl.neighbours(frame(spark, features), 0.3, blocks=blocks).collect()} == want
+    assert cl.neighbours(frame(spark, {1: [1.0]}).limit(0), 0.3).count() == 0
+
+
 def test_centers_are_aligned_at_the_end(spark):
     series = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0), (2, 1, 10.0), (2, 2, 20.0), (3, 0, 5.0)], "template_id long, t long, rate double")
     assigned = spark.createDataFrame([(1, 7), (2, 7), (3, -1)], "template_id long, cluster long")
