@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 next stage's docs. All but the last return the columns of documents: the first drops rejected documents and removes
 over-frequent lines, the second keeps the first document of each class, the third cuts repeated strings out of the
 texts, the fourth drops documents that hold benchmark items; the last returns a row per packed piece.
+
+Defined cases, at every stage: a null text is an empty one, so the first stage rejects it (it has fewer words than
+MIN_WORDS); a null source is a host of its own; a null doc_id is an id like any other, before all others; rows that
+share an id but not the text are documents of their own, and of rows equal in id and text the second stage keeps one;
+among equal documents the one with the least id stays. Texts of any length are taken whole, and a text that loses bytes
+keeps its row, even with an empty rest. Extra columns, whatever their names, stay as they are up to the fourth stage.
+A table without rows, or without benchmark items, passes through.
 """
 
 from __future__ import annotations

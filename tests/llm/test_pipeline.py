@@ -3,7 +3,7 @@
 import zlib
 
 import numpy as np
-from helpers import SF
+from helpers import SF, awkward, documents, save
 from test_decontaminate import brute as leaks
 from test_neardup import brute as classes
 from test_quality import verdicts
@@ -77,3 +77,38 @@ def test_stages_take_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), "test-pipeline")
     assert docs.count() == 0
+
+
+def test_awkward_rows_pass_all_stages(spark, tmp_path):
+    words = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in ("ora", "elt", "inu", "osk")]
+    text = lambda k, n=60: " ".join(words[(i * i + 7 * k * i + k) % len(words)] + "xyz"[(i * k) % 3] * (1 + (i + k) % 3) for i in range(n))
+    long = " ".join("w" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(30_000))
+    item = text(3)
+    texts = awkward() + [text(1), text(1), text(1), text(2) + " " + item, text(4), text(5) + "\n" + text(4, 40), None, long, ",".join(map(str, range(20_000)))]
+    n = len(awkward())
+    ids = [*range(n), 100, 100, 101, 102, None, 103, None, 104, 105]
+    hosts = ["h"] * n + [None, None, "g", None, "h", "h", None, "g", "g"]
+    docs = documents(spark, texts, sources=hosts, ids=ids)
+    for c in ("key", "rid", "host", "words", "n", "label", "hashes", "spans", "kept", "h", "d", "k", "start", "length"):
+        docs = docs.withColumn(c, docs.doc_id.cast("string"))
+    sf = save(docs, tmp_path, "documents")
+    save(spark.createDataFrame([(1, item), (None, item), (2, None)], "item_id long, text string"), tmp_path, "benchmark")
+    docs, columns, kept = spark.read.parquet(f"{sf}/documents.parquet"), docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf), "test-pipeline")
+        if name != "packing":
+            assert docs.columns == columns
+            kept.append([(r.doc_id, r.text, r.key) for r in docs.collect()])
+            assert all(k == (None if d is None else str(d)) for d, _, k in kept[-1])
+    assert sorted(str(d) for d, *_ in kept[0]) == ["100", "100", "101", "102", "103", "104", "None"]
+    assert sorted(str(d) for d, *_ in kept[1]) == ["100", "102", "103", "104", "None"] and sorted(map(str, kept[1])) != sorted(map(str, kept[2]))
+    assert next(t for d, t, _ in kept[2] if d == 103).startswith(text(5)) and len(next(t for d, t, _ in kept[2] if d == 103)) < len(text(5) + text(4, 40))
+    assert sorted(str(d) for d, *_ in kept[3]) == ["100", "103", "104", "None"]
+    assert {r.doc_id for r in docs.collect()} == {100, 103, 104, None}
+    assert corpus_pipeline.run(spark, sf).count() == docs.count()
+    # without benchmark items nothing is dropped for them
+    save(spark.createDataFrame([], "item_id long, text string"), tmp_path, "benchmark")
+    last = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        last = materialize(stage(spark, last, sf), "test-pipeline")
+    assert last.count() == 5
