@@ -8,6 +8,7 @@ number rn of N is ceil(rn * B / N), in integers; that is not ntile.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ from pyspark.sql.window import Window
 from stratum.plans.store import written
 
 BLOCKS = 10
+#: Sort columns that are dealt out at the same time.
+AT_ONCE = 4
 
 
 def order_by(columns: Sequence[str]) -> list[Column]:
@@ -48,9 +51,17 @@ def with_block(df: DataFrame, order: Sequence[str], blocks: int = BLOCKS, name:
 
 
 def all_blocks(df: DataFrame, candidates: Sequence[str], key: Sequence[str], blocks: int = BLOCKS) -> DataFrame:
-    """(key..., order_column, block_id): the block of every row under every candidate sort column, ties by key."""
-    parts = [with_block(df.select(*dict.fromkeys([c, *key])), [c, *(k for k in key if k != c)], blocks).select(*key, F.lit(c).alias("order_column"), "block_id") for c in candidates]
-    return reduce(DataFrame.unionByName, parts)
+    """(key..., order_column, block_id): the block of every row under every candidate sort column, ties by key.
+
+    Each column is one narrow write of its own, so a few of them share the cluster at a time.
+    """
+
+    def one(c: str) -> DataFrame:
+        placed = with_block(df.select(*dict.fromkeys([c, *key])), [c, *(k for k in key if k != c)], blocks)
+        return placed.select(*key, F.lit(c).alias("order_column"), "block_id")
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, candidates))
 
 
 def locations(df: DataFrame, hits: DataFrame, candidates: Sequence[str], key: Sequence[str], blocks: int = BLOCKS) -> DataFrame:

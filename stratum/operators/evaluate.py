@@ -16,7 +16,9 @@ SIZES = (20, 50, 100, 200, 500, 1000)
 def sample_workload(spark: SparkSession, names: Sequence[str], size: int, seed: int = 0) -> DataFrame:
     """(position, query_id): queries drawn uniformly with replacement, the same for the same seed."""
     listed = spark.createDataFrame(list(enumerate(sorted(names))), "pick long, query_id string")
-    drawn = spark.range(size).select(F.col("id").alias("position"), F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(len(names))).alias("pick"))
+    # MD5, so that any engine can draw the same
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
+    drawn = spark.range(size).select(F.col("id").alias("position"), F.pmod(digest, F.lit(len(names))).alias("pick"))
     return drawn.join(F.broadcast(listed), "pick").select("position", "query_id")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.operators.blocks import BLOCKS, order_by, with_block
@@ -43,9 +43,17 @@ def write_vertical(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(*columns).write.mode("overwrite").parquet(path)
 
 
-def write_hashed(df: DataFrame, path: str, attributes: Sequence[str], parts: int = 3) -> None:
+def _part(attributes: Sequence[str], parts: int, digest: bool) -> Column:
+    """The partition of a row; by digest it is one that any engine with MD5 gives, else Spark's own hash."""
+    if not digest:
+        return F.pmod(F.hash(*attributes), F.lit(parts))
+    text = F.concat_ws("\0", *[F.col(c).cast("string") for c in attributes])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(parts)).cast("int")
+
+
+def write_hashed(df: DataFrame, path: str, attributes: Sequence[str], parts: int = 3, digest: bool = False) -> None:
     """Rows in folders part=0..parts-1 by a hash of the attributes."""
-    df.withColumn("part", F.pmod(F.hash(*attributes), F.lit(parts))).write.mode("overwrite").partitionBy("part").parquet(path)
+    hash_partition_rows(df, attributes, parts, digest).write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, attributes: Sequence[str], parts: int = 3) -> None:
@@ -53,8 +61,8 @@ def write_bucketed(df: DataFrame, table: str, attributes: Sequence[str], parts:
     df.write.mode("overwrite").bucketBy(parts, *attributes).sortBy(*attributes).saveAsTable(table)
 
 
-def hash_partition_rows(df: DataFrame, attributes: Sequence[str], parts: int = 3) -> DataFrame:
-    return df.withColumn("part", F.pmod(F.hash(*attributes), F.lit(parts)))
+def hash_partition_rows(df: DataFrame, attributes: Sequence[str], parts: int = 3, digest: bool = False) -> DataFrame:
+    return df.withColumn("part", _part(attributes, parts, digest))
 
 
 def release(spark: SparkSession, path: str) -> bool:

@@ -224,11 +224,6 @@ def _bucket_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return touched.groupBy(F.pmod("block_id", F.lit(3)).cast("int").alias("part")).agg(F.count("*").alias("n_blocks"))
 
 
-@_query("hash_partitions")
-def _hashed(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize.hash_partition_rows(table(spark, sf, "orders"), ["o_custkey"]).groupBy("part").agg(F.count("*").alias("n"))
-
-
 @_query("delimited_round_trip", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def _delimited(spark: SparkSession, sf: str) -> DataFrame:
     df, path = table(spark, sf, "supplier"), fresh_path(spark, "delimited")
@@ -497,11 +492,6 @@ def _scan_size(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.round("scan_mb", 6).alias("scan_mb"))
 
 
-@_query("sampled_workload")
-def _sampled(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.sample_workload(spark, _NAMES, 200, seed=1)
-
-
 @_query("scan_measurements")
 def _measured(spark: SparkSession, sf: str) -> DataFrame:
     register(spark, sf)
@@ -545,11 +535,6 @@ def _frequent(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("support", F.round("support", 6))
 
 
-@_query("frequent_itemsets")
-def _itemsets(spark: SparkSession, sf: str) -> DataFrame:
-    return baselines.frequent_itemsets(spark.createDataFrame(_ATTR, "query_id string, column_name string"), spark.createDataFrame(_FREQ, "query_id string, freq double"))
-
-
 _SEL_C = [("q1", 0), ("q1", 1), ("q2", 2), ("q3", 1)]
 _WHR_C = [("q1", 1), ("q2", 0), ("q3", 1), ("q3", 3)]
 _USAGE_SQL = f"""WITH s AS {_values(_SEL_C, 'query_id, c')}, w AS {_values(_WHR_C, 'query_id, c')}, f AS {_values(_FREQ, 'query_id, freq')}, col AS {_values([(i,) for i in range(5)], 'c')},
@@ -639,11 +624,6 @@ def _wide(spark: SparkSession, sf: str) -> DataFrame:
     return arrival.wide(one.unionByName(two), [1, 2])
 
 
-@_query("arrival_generated")
-def _generated(spark: SparkSession, sf: str) -> DataFrame:
-    return arrival.arrival_rates(spark, arrival.sample_patterns(20, arrival.WEEK, seed=3), arrival.WEEK, seed=3)
-
-
 # forecasts -----------------------------------------------------------------------------------------------------------
 
 _STEPS = 8640
@@ -733,16 +713,6 @@ def _hourly(spark: SparkSession, sf: str) -> DataFrame:
     return grid.join(counted, ["template_id", "t"], "left").select("template_id", "t", F.coalesce("n", F.lit(0)).cast("double").alias("rate"))
 
 
-@_query("dtw_pairs")
-def _dtw(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.neighbours(cluster.features(_hourly(spark, sf)), 1.2)
-
-
-@_query("dbscan_clusters")
-def _dbscan(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.cluster(cluster.features(_hourly(spark, sf)), 1.2)
-
-
 _HOURLY_SQL = "WITH u AS (SELECT DISTINCT user_id FROM events), s AS (SELECT u.user_id AS template_id, r.t, CAST(count(e.event_id) AS DOUBLE) AS rate FROM u CROSS JOIN range(24) r(t) LEFT JOIN events e ON e.user_id = u.user_id AND EXTRACT(HOUR FROM e.ts) = r.t GROUP BY u.user_id, r.t)"
 
 
