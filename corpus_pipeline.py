@@ -20,26 +20,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratum.llm import decontaminate, neardup, packing, quality, suffix
-from stratum.llm.common import materialize, table, vocabulary
+from stratum.llm.common import materialize, modest_batches, table, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return neardup.keep_one(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return suffix.without_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return packing.digest(packing.pack(docs, vocabulary("byte_bpe_50k.json")))
 
 

@@ -44,8 +44,8 @@ def clear_work(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of Spark's own batches while an intermediate frame is written.
-_BATCH_ROWS = 1000
+#: Rows of Spark's own batches while an intermediate frame is written, and in modest_batches.
+_BATCH_ROWS = 512
 
 
 @contextlib.contextmanager
@@ -60,6 +60,14 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """For programs that own their session, as the registered queries do: smaller Arrow batches, unless the session has
+    chosen its own. Operators never touch the setting of a caller's session for good."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(_BATCH_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
@@ -92,7 +100,8 @@ def keeps(owner: str, clear: Callable[[], None]) -> None:
 
 
 def _trim() -> None:
-    """Gives freed memory back to the system, where the C library can."""
+    """Gives freed memory back to the system, where Arrow's pool and the C library can."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
@@ -116,6 +125,14 @@ def parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
             yield some
 
 
+def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory that went with earlier ones is given back now and then, as tasks may be long."""
+    for i, batch in enumerate(batches, 1):
+        yield batch
+        if i % 32 == 0:
+            _trim()
+
+
 def arrow_map(df: DataFrame, fn, schema, rows: int = 512, owner: str = "") -> DataFrame:
     """mapInArrow over runs of rows small enough that long texts fit beside each other, whatever the session's batches.
 
@@ -127,7 +144,7 @@ def arrow_map(df: DataFrame, fn, schema, rows: int = 512, owner: str = "") -> Da
         for clear in stale:
             clear()
         try:
-            yield from fn(part for batch in batches for part in parts(batch, rows))
+            yield from fn(_trimmed(part for batch in batches for part in parts(batch, rows)))
         finally:
             _trim()
 

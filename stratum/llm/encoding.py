@@ -20,7 +20,7 @@ from stratum.llm import textkit as tk
 from stratum.llm.common import keeps
 
 #: Units held by a process; beyond it the store starts anew.
-MOST_UNITS = 1_200_000
+MOST_UNITS = 500_000
 #: Units that the library gets at once.
 _BATCH = 8_000
 
@@ -88,7 +88,7 @@ class UnitEncoder:
 
     def _clear(self) -> None:
         self.known = tk.Known()
-        self.starts, self.sizes, self.ids = tk.Column(np.int64), tk.Column(np.int64), tk.Column(np.uint32)
+        self.starts, self.sizes, self.ids = tk.Column(np.int64), tk.Column(np.int32), tk.Column(np.uint32)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids and their numbers for units that hold the separator themselves."""
@@ -164,7 +164,7 @@ class UnitEncoder:
             self._learn(buf, starts[one], ends[one])
             self.known.add(some, new)
         at = slot[some.which]
-        sizes = self.sizes.data[at]
+        sizes = self.sizes.data[at].astype(np.int64)
         before = np.cumsum(sizes) - sizes
         pick = np.repeat(self.starts.data[at] - before, sizes) + np.arange(int(sizes.sum()))
         return self.ids.data[pick], np.bincount(tk.rows_of(starts, offsets), sizes, n).astype(np.int64)

@@ -43,7 +43,7 @@ class Strings:
     hash: np.ndarray
     block: np.ndarray
     first: np.ndarray
-    count: np.ndarray
+    count: np.ndarray | None
     length: np.ndarray
 
     def equal(self, i: np.ndarray, other: Strings, j: np.ndarray) -> np.ndarray:
@@ -108,7 +108,7 @@ def distinct(strings: Strings) -> Distinct | None:
 
 
 class Column:
-    """An array that grows at its end, by doubling."""
+    """An array that grows at its end, by half of what it has."""
 
     def __init__(self, kind: type):
         self.data, self.used = np.zeros(1 << 12, kind), 0
@@ -116,7 +116,7 @@ class Column:
     def extend(self, more: np.ndarray) -> None:
         need = self.used + len(more)
         if need > len(self.data):
-            self.data = np.concatenate([self.data[: self.used], np.zeros(max(need, 2 * self.used) - self.used, self.data.dtype)])
+            self.data = np.concatenate([self.data[: self.used], np.zeros(max(need, 3 * self.used // 2) - self.used, self.data.dtype)])
         self.data[self.used : need] = more
         self.used = need
 
@@ -125,8 +125,8 @@ class Known:
     """Strings met before, by hash, with their bytes: numbers them in the order they are added."""
 
     def __init__(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.block, self.first, self.count, self.length = Column(np.uint64), Column(np.int64), Column(np.int64), Column(np.int64)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.block, self.first, self.length = Column(np.uint64), Column(np.int32), Column(np.int32)
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -134,11 +134,11 @@ class Known:
     def find(self, some: Distinct) -> np.ndarray | None:
         """The number of each distinct string, -1 where it is new; None if a known string of other bytes has its hash."""
         if not len(self.keys):
-            return np.full(len(some.keys), -1)
+            return np.full(len(some.keys), -1, np.int64)
         at = np.minimum(np.searchsorted(self.keys, some.keys), len(self.keys) - 1)
-        slot = np.where(self.keys[at] == some.keys, self.slots[at], -1)
+        slot = np.where(self.keys[at] == some.keys, self.slots[at].astype(np.int64), -1)
         old = np.flatnonzero(slot >= 0)
-        mine = Strings(self.keys, self.block.data, self.first.data, self.count.data, self.length.data)
+        mine = Strings(self.keys, self.block.data, self.first.data, None, self.length.data)
         return slot if some.strings.equal(some.one[old], mine, slot[old]).all() else None
 
     def add(self, some: Distinct, new: np.ndarray) -> None:
@@ -149,10 +149,9 @@ class Known:
         inner = np.arange(int(count.sum())) - np.repeat(first, count)
         self.first.extend(self.block.used + first)
         self.block.extend(source.block[np.repeat(source.first[one], count) + inner])
-        self.count.extend(count)
         self.length.extend(source.length[one])
         keys = np.concatenate([self.keys, some.keys[new]])
-        slots = np.concatenate([self.slots, len(self.slots) + np.arange(len(new))])
+        slots = np.concatenate([self.slots, (len(self.slots) + np.arange(len(new))).astype(np.int32)])
         # two sorted runs: a stable sort merges them
         order = np.argsort(keys, kind="stable")
         self.keys, self.slots = keys[order], slots[order]

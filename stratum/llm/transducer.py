@@ -37,7 +37,7 @@ LIMIT = 1024
 CHUNK = 64
 SLICE = 1 << 20
 MOST_TRANSITIONS = 1_500_000
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
 
 # classes of characters
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
