@@ -20,7 +20,8 @@ substrings first:
    WINDOW bytes), and a string has an earlier match, i.e. its longest previous factor is WINDOW or more, if the
    previous or the next smaller position in suffix order lies within the same run of common prefixes of WINDOW or
    more. The strings of a gram with more than HOT names (the edge of a passage that a third of all documents hold) are
-   no one task's work: their suffix order is a sort over the cluster, with the same test on neighbours.
+   no one task's work: they are named as cells are and their names sorted over the cluster, with the same test on
+   neighbours.
 
 A slice of texts sends each content once and settles its own repeats. No text is shuffled in step 1; in step 2 and
 in the end the same exchange of texts serves both. Groups of grams grow in number with the input; they are sorted, one
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from stratum.llm import textkit as tk
-from stratum.llm.common import arrow_map, materialize, strings, table
+from stratum.llm.common import arrow_map, materialize, small, strings, table
 
 WINDOW = 100
 GRAM = 32
@@ -292,48 +293,62 @@ def _cell_parts(texts: DataFrame) -> DataFrame:
     return arrow_map(texts, run, "place long, rid long, doc long, start long, n int, data binary", 256)
 
 
+def _names(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two unrelated 64-bit hashes of the WINDOW bytes at each position."""
+    hashes = _doubled(np.frombuffer(data, np.uint8))
+    quarter, half = hashes[GRAM], hashes[2 * GRAM]
+    first = tk.mix(half[at] * np.uint64(_MULTIPLIERS[0]) + half[at + WINDOW - 2 * GRAM])
+    second = np.zeros(len(at), np.uint64)
+    for k, m in zip((0, GRAM, 2 * GRAM, WINDOW - GRAM), _MULTIPLIERS[1:], strict=False):
+        second = tk.mix(second ^ quarter[at + k] * np.uint64(m))
+    return first.view(np.int64), second.view(np.int64)
+
+
 def _hot_matches(texts: DataFrame) -> DataFrame:
     """(rid, start, n): strings with an earlier match among the cells of hot grams.
 
-    Their suffix order is made by the cluster: strings are rows, dealt out by ranges of (string, position) and sorted.
-    Equal strings then follow each other by position, across ranges too, so a string has a previous smaller position
-    with a common prefix of WINDOW if and only if it equals the one before it. What stands at the edges of ranges, a
-    row or two for each, is compared on the driver.
+    Their order is made by the cluster: strings are rows, named by 128 bits of hash, dealt out by ranges of (name,
+    position) and sorted. Equal strings then follow each other by position, across ranges too, so a string has a previous
+    smaller position with a common prefix of WINDOW if and only if it has the name of the one before it. What stands at
+    the edges of ranges, a row or two for each, is compared on the driver.
     """
 
     def strings(batches):
         for batch in batches:
+            held = []
             for rid, doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("__rid", "__doc", "text", "__cells")), strict=True):
-                data = text.encode()
-                at = [p for c in wanted for p in range(c["start"], c["start"] + c["n"])]
-                for a in range(0, len(at), 10_000):
-                    some = at[a : a + 10_000]
-                    columns = [pa.array([rid] * len(some), pa.int64()), pa.array([doc] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([data[p : p + WINDOW] for p in some], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc", "start", "data"])
+                at = np.concatenate([np.arange(c["start"], c["start"] + c["n"]) for c in wanted])
+                held.append((*_names(text.encode(), at), np.full(len(at), doc), np.full(len(at), rid), at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=order)
 
     def compare(batches):
         before, me = None, TaskContext.get().partitionId()
         for batch in batches:
-            data = batch.column(3).to_pylist()
-            hit = [a == b for a, b in zip([before, *data[:-1]], data, strict=True)]
-            # the first row of a range awaits the last string of the one before
-            edge = [data[0] if before is None and i == 0 else None for i in range(len(data))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hit), pa.array([me] * len(data), pa.int32()), pa.array(edge, pa.binary()), pa.nulls(len(data), pa.binary())], names=names)
-            before = data[-1]
+            one, two = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            hit = np.zeros(len(one), bool)
+            hit[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+            hit[0] = before == (one[0], two[0])
+            # the first row of a range awaits the last name of the one before
+            edge = np.zeros(len(one), np.int32)
+            edge[0] = before is None
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), pa.array(hit), batch.column(0), batch.column(1), pa.array(np.full(len(one), me, np.int32)), pa.array(edge)], names=names)
+            before = (one[-1], two[-1])
         if before is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([False]), pa.array([me], pa.int32()), pa.nulls(1, pa.binary()), pa.array([before], pa.binary())], names=names)
+            ends = [pa.array([x], pa.int64()) for x in before]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([False]), *ends, pa.array([me], pa.int32()), pa.array([2], pa.int32())], names=names)
 
-    names = ["rid", "start", "hit", "part", "head", "tail"]
-    order = ["data", "doc", "rid", "start"]
-    rows = arrow_map(texts, strings, "rid long, doc long, start long, data binary", 256)
+    names = ["rid", "start", "hit", "one", "two", "part", "edge"]
+    order = ["one", "two", "doc", "rid", "start"]
+    rows = arrow_map(texts, strings, "one long, two long, doc long, rid long, start long", 256)
     spark = texts.sparkSession
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    found = materialize(arrow_map(ranged.select("rid", "doc", "start", "data"), compare, "rid long, start long, hit boolean, part int, head binary, tail binary", 4096), "suffix-hot")
+    found = arrow_map(ranged.select(*order), compare, "rid long, start long, hit boolean, one long, two long, part int, edge int", 4096)
+    found = materialize(found.where("hit OR edge > 0"), "suffix-hot")
     # two rows per range
-    heads = {r.part: r for r in found.where("head IS NOT NULL").collect()}
-    tails = {r.part: bytes(r.tail) for r in found.where("tail IS NOT NULL").select("part", "tail").collect()}
+    edges = found.where("edge > 0").collect()
+    heads, tails = {r["part"]: r for r in edges if r["edge"] == 1}, {r["part"]: r for r in edges if r["edge"] == 2}
     parts = sorted(tails)
-    more = [(heads[b].rid, heads[b].start) for a, b in zip(parts[:-1], parts[1:], strict=True) if bytes(heads[b].head) == tails[a]]
+    more = [(heads[b]["rid"], heads[b]["start"]) for a, b in zip(parts[:-1], parts[1:], strict=True) if (heads[b]["one"], heads[b]["two"]) == (tails[a]["one"], tails[a]["two"])]
     out = found.where("hit").select("rid", "start")
     return out.unionByName(spark.createDataFrame(more, "rid long, start long")).select("rid", "start", F.lit(1).alias("n"))
 
@@ -478,8 +493,12 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
         return texts.join(cells_, "__rid").select(*whole, "__cells")
 
     found = settled.where("lead < 0").select("rid", "start", "n").unionByName(_compared(_cell_parts(asked(f"lead >= 0 AND lead < {_HOT_LEAD}"))))
-    if not settled.where(f"lead >= {_HOT_LEAD}").isEmpty():
-        found = found.unionByName(_hot_matches(asked(f"lead >= {_HOT_LEAD}")))
+    hot = settled.where(f"lead >= {_HOT_LEAD}").groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("start", "n")).alias("__cells"))
+    hot = materialize(hot, "suffix-hot-cells")
+    count = hot.agg(F.sum(F.size("__cells"))).first()[0]
+    if count:
+        # the texts are not dealt out once more for a few cells
+        found = found.unionByName(_hot_matches(numbered.join(small(hot, count, 48), "__rid").select(*whole, "__cells")))
     ranges = found.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("start", "n")).alias("__ranges"))
     joined = texts.join(ranges, "__rid", "left").select(*whole, "__ranges")
     if as_text:
