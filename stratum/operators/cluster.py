@@ -55,72 +55,112 @@ def features(series: DataFrame) -> DataFrame:
 
 
 def dtw_below(a: np.ndarray, b: np.ndarray, rho: float) -> np.ndarray:
-    """DTW distances of the pairs (a[:, k], b[:, k]) of unit-length series, one pair a column; infinite where they are
-    known to reach rho, as pairs are given up once every cell of a row of their tables has reached it."""
-    n, m, pairs = len(a), len(b), a.shape[1]
-    out, live = np.full(pairs, np.inf), np.arange(pairs)
-    row = np.full((m, pairs), np.inf)
-    for i in range(n):
-        gaps = np.abs(a[i] - b)
-        here = np.empty_like(row)
-        here[0] = gaps[0] + (row[0] if i else 0)
-        for j in range(1, m):
-            here[j] = gaps[j] + (np.minimum(np.minimum(row[j], row[j - 1]), here[j - 1]) if i else here[j - 1])
-        row = here
-        on = row.min(0) < rho
-        if not on.all():
-            row, a, b, live = row[:, on], a[:, on], b[:, on], live[on]
-            if not len(live):
-                return out
-    out[live] = row[-1]
+    """DTW distances of the pairs (a[:, k], b[:, k]) of unit-length series, one pair a column, in the series' own number
+    type; infinite where they are known to reach rho: pairs are given up as soon as two diagonals of their tables, one
+    of which every path crosses, have reached it.
+
+    Tables are filled by anti-diagonals, of which three are held; b stands in reverse, so that each is a plain slice.
+    """
+    n, m, kind = len(a), len(b), np.result_type(a, b)
+    out, live = np.full(a.shape[1], np.inf, kind), np.arange(a.shape[1])
+    b = np.ascontiguousarray(b[::-1])
+    before, last, here = (np.full((n + 1, a.shape[1]), np.inf, kind) for _ in range(3))
+    gaps = np.empty((n, a.shape[1]), kind)
+    for d in range(n + m - 1):
+        lo, hi = max(0, d - m + 1), min(n, d + 1)
+        gap, cells = gaps[: hi - lo], here[lo + 1 : hi + 1]
+        np.abs(np.subtract(a[lo:hi], b[m - 1 - d + lo : m - 1 - d + hi], out=gap), out=gap)
+        if d == 0:
+            cells[:] = gap
+        else:
+            # cell (i, j) is kept at i + 1: up and left lie on the last diagonal, the corner on the one before
+            np.minimum(last[lo:hi], last[lo + 1 : hi + 1], out=cells)
+            np.add(np.minimum(cells, before[lo:hi], out=cells), gap, out=cells)
+            here[: lo + 1] = here[hi + 1 : hi + 2] = np.inf
+        before, last, here = last, here, before
+        if d % 8 == 7:
+            on = np.minimum(last.min(0), before.min(0)) < rho
+            if 2 * np.count_nonzero(on) < len(live):
+                live, a, b, before, last = live[on], a[:, on], b[:, on], before[:, on], last[:, on]
+                here, gaps = np.full_like(last, np.inf), np.empty((n, len(live)), kind)
+                if not len(live):
+                    return out
+    out[live] = last[n]
     return out
 
 
-#: Templates in a block, and table cells of the pairs that are computed at once.
+#: Templates in a block at least, if they fill so many blocks, and at most.
 BLOCK = 128
-_CELLS = 1 << 21
+_FEW_BLOCKS = 16
+_LARGE_BLOCK = 2048
+#: Pairs whose bounds are held at once, and whose tables are.
+_BOUNDED = 1 << 18
+_TABLES = 2048
 
 
-def _near_pairs(ids: np.ndarray, series: list[np.ndarray], blocks: np.ndarray, rho: float) -> list[tuple[int, int, float]]:
-    """The pairs within rho between two blocks, or inside the only one."""
-    sizes, found = np.array([len(x) for x in series]), []
+def _near_pairs(ids: np.ndarray, series: list[np.ndarray], blocks: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and distance of the pairs within rho between two blocks, or inside the only one."""
+    sizes, found = np.array([len(x) for x in series]), [(ids[:0], ids[:0], np.zeros(0))]
     left, right = (blocks == blocks.min()), (blocks == blocks.max())
+    one = blocks.min() == blocks.max()
     for n in np.unique(sizes):
         for m in np.unique(sizes):
             x, y = np.flatnonzero(left & (sizes == n)), np.flatnonzero(right & (sizes == m))
-            if not len(x) or not len(y):
-                continue
-            if not n or not m:
-                found += [(ids[i], ids[j], 0.0) for i in x for j in y if n == m and rho > 0 and (blocks.min() != blocks.max() or ids[i] < ids[j])]
+            if not len(x) or not len(y) or (n != m and not (n and m)):
                 continue
-            a, b = np.stack([series[i] for i in x], 1), np.stack([series[j] for j in y], 1)
-            # every path holds both corners of the table, so their cells are a lower bound
-            least = np.abs(a[0][:, None] - b[0][None, :])
-            if n > 1 or m > 1:
-                least = least + np.abs(a[-1][:, None] - b[-1][None, :])
-            close = least < rho
-            if blocks.min() == blocks.max():
-                close &= ids[x][:, None] < ids[y][None, :]
-            i, j = np.nonzero(close)
-            step = max(1, _CELLS // int(m))
-            for at in range(0, len(i), step):
-                p, q = i[at : at + step], j[at : at + step]
-                d = dtw_below(a[:, p], b[:, q], rho)
-                found += [(ids[x[p[k]]], ids[y[q[k]]], float(d[k])) for k in np.flatnonzero(d < rho)]
-    return found
-
-
-def neighbours(feature_rows: DataFrame, rho: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, distance) of all template pairs a < b with distance below rho.
-
-    A stated set of templates against itself, in blocks (of about BLOCK, unless their number is given): a template goes
-    to the units of its block with every block, and each unit, once dealt out, bounds its pairs from below, computes
-    those that may be near and returns those that are. No task holds more than two blocks, and no pair is a row before
-    it is near.
-    """
-    rows = written(feature_rows.select(F.col("template_id").cast("long").alias("template_id"), "feature"), "features")
+            a, b = (np.stack([series[i] for i in held], 1) for held in (x, y))
+            a32, b32 = a.astype(np.float32), b.astype(np.float32)
+            # tables in single precision choose the pairs that are computed: a path has at most n + m steps, each of
+            # them rounded by a few parts in ten million
+            roughly = rho + (n + m) * 1e-6 * (1 + abs(rho))
+            strip = max(1, _BOUNDED // len(y))
+            for top in range(0, len(x), strip):
+                some = slice(top, min(top + strip, len(x)))
+                # every path holds both corners of the table, so their cells are a lower bound
+                least = np.zeros((some.stop - top, len(y)))
+                if n and m:
+                    least += np.abs(a[0, some][:, None] - b[0][None, :])
+                if n > 1 or m > 1:
+                    least += np.abs(a[-1, some][:, None] - b[-1][None, :])
+                close = least < rho
+                if one:
+                    close &= ids[x[some]][:, None] < ids[y][None, :]
+                i, j = np.nonzero(close)
+                i += top
+                for at in range(0, len(i), _TABLES):
+                    p, q = i[at : at + _TABLES], j[at : at + _TABLES]
+                    if n and m:
+                        on = dtw_below(a32[:, p], b32[:, q], roughly) < roughly
+                        p, q = p[on], q[on]
+                        d = dtw_below(a[:, p], b[:, q], rho)
+                        p, q, d = p[d < rho], q[d < rho], d[d < rho]
+                    else:
+                        d = np.zeros(len(p))
+                    found.append((ids[x[p]], ids[y[q]], d))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+def equal_curves(feature_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(template_id, feature, n): one template, the least, of each class of n with the same feature; and (template_id,
+    rep), which class each template is in. Their distance is 0, and they are as far as each other from any other
+    curve. A feature with a null, a NaN or an infinity is not near itself: its template makes a class of its own."""
+    rows = feature_rows.where("feature IS NOT NULL").select(F.col("template_id").cast("long").alias("template_id"), "feature")
+    plain = F.forall("feature", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    rows = written(rows.withColumn("alone", F.when(plain, 0).otherwise(F.col("template_id"))), "features")
+    reps = written(rows.groupBy("feature", "alone").agg(F.min("template_id").alias("rep"), F.count("*").alias("n")), "curves")
+    members = written(rows.join(reps, ["feature", "alone"]).select("template_id", "rep"), "curve-members")
+    return reps.select(F.col("rep").alias("template_id"), "feature", "n"), members
+
+
+def _near_curves(rows: DataFrame, rho: float, blocks: int | None = None) -> DataFrame:
+    """(a, b, distance) of all pairs of rows a < b with distance below rho, in blocks (of BLOCK to _LARGE_BLOCK, unless
+    their number is given): a row goes to the units of its block with every block, and each unit, once dealt out, bounds
+    its pairs from below, computes those that may be near and returns those that are. No task holds more than two
+    blocks, and no pair is a row before it is near."""
+    rows = rows.select("template_id", "feature")
     if blocks is None:
-        blocks = max(1, -(-rows.count() // BLOCK))
+        n = rows.count()
+        blocks = max(1, min(-(-n // BLOCK), _FEW_BLOCKS), -(-n // _LARGE_BLOCK))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("template_id"), F.lit(blocks)))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     units = rows.withColumn("with", other).withColumn("lo", F.least("blk", "with")).withColumn("hi", F.greatest("blk", "with"))
@@ -130,7 +170,7 @@ def neighbours(feature_rows: DataFrame, rho: float, blocks: int | None = None) -
         if held["lo"].iloc[0] != held["hi"].iloc[0] and own.min() == own.max():
             return pd.DataFrame({"a": [], "b": [], "distance": []})
         got = _near_pairs(held["template_id"].to_numpy(), [unit(x) for x in held["feature"]], own, rho)
-        return pd.DataFrame(got, columns=["a", "b", "distance"])
+        return pd.DataFrame(dict(zip(("a", "b", "distance"), got, strict=True)))
 
     # units are few and cheap to send but dear to compute, so they are dealt out by number, not by size
     units = units.repartition(min(blocks * (blocks + 1) // 2, 4096), "lo", "hi")
@@ -138,15 +178,29 @@ def neighbours(feature_rows: DataFrame, rho: float, blocks: int | None = None) -
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
-def dbscan(templates: DataFrame, near: DataFrame, min_points: int = 1) -> DataFrame:
+def neighbours(feature_rows: DataFrame, rho: float, blocks: int | None = None) -> DataFrame:
+    """(a, b, distance) of all template pairs a < b with distance below rho, in blocks (their number may be given)."""
+    return _near_curves(written(feature_rows.select(F.col("template_id").cast("long").alias("template_id"), "feature"), "features"), rho, blocks)
+
+
+def dbscan(templates: DataFrame, near: DataFrame, min_points: int = 1, members: DataFrame | None = None) -> DataFrame:
     """(template_id, cluster): components of core templates and their neighbours, named by their least member.
 
     A template is core with min_points neighbours or more; one that is near no core, singletons included, is a
     cluster of its own; one near several joins its least core's. With min_points 1 these are the connected components.
+    With members (template_id, rep), near holds pairs of representatives, which stand for all of their classes: members
+    of a class are each other's neighbours and share those of their representative, the least of them.
     """
     near = written(near.select("a", "b"), "dbscan-near")
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count("*").alias("n"))
+    if members is None:
+        members = templates.select("template_id", F.col("template_id").alias("rep"))
+        degree = both.groupBy("a").agg(F.count("*").alias("n"))
+    else:
+        sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
+        beside = both.join(sizes.withColumnRenamed("rep", "b"), "b").select("a", "n")
+        own = sizes.where("n > 1").select(F.col("rep").alias("a"), (F.col("n") - 1).alias("n"))
+        degree = beside.unionByName(own).groupBy("a").agg(F.sum("n").alias("n"))
     core = degree.where(F.col("n") >= min_points).select(F.col("a").alias("template_id"))
     links = both.join(core.withColumnRenamed("template_id", "a"), "a", "left_semi").join(core.withColumnRenamed("template_id", "b"), "b", "left_semi")
     labels = written(core.withColumn("label", F.col("template_id")), "dbscan")
@@ -160,8 +214,8 @@ def dbscan(templates: DataFrame, near: DataFrame, min_points: int = 1) -> DataFr
         labels = step.select("template_id", "label")
         if not changed:
             break
-    edge = both.join(labels.withColumnRenamed("template_id", "b"), "b").groupBy(F.col("a").alias("template_id")).agg(F.min(F.struct("b", "label"))["label"].alias("beside"))
-    out = templates.select("template_id").join(labels, "template_id", "left").join(edge, "template_id", "left")
+    edge = both.join(labels.withColumnRenamed("template_id", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.min(F.struct("b", "label"))["label"].alias("beside"))
+    out = members.join(labels.withColumnRenamed("template_id", "rep"), "rep", "left").join(edge, "rep", "left")
     out = out.select("template_id", F.coalesce("label", "beside", "template_id").alias("core"))
     least = out.groupBy("core").agg(F.min("template_id").alias("cluster"))
     return out.join(least, "core").select("template_id", "cluster")
@@ -171,7 +225,12 @@ def cluster(feature_rows: DataFrame, rho: float, bound: int = 1, min_points: int
     """(template_id, cluster); templates with fewer than `bound` points are not yet clustered: -1."""
     long = feature_rows.where(F.size("feature") >= bound)
     short = feature_rows.where(F.size("feature") < bound).select("template_id", F.lit(-1).cast("long").alias("cluster"))
-    found = dbscan(long, neighbours(long, rho), min_points).select("template_id", F.col("cluster").cast("long"))
+    if rho > 0:
+        curves, members = equal_curves(long)
+        found = dbscan(curves, _near_curves(curves, rho), min_points, members)
+    else:
+        found = long.select("template_id", F.col("template_id").alias("cluster"))  # no distance is below rho
+    found = found.select("template_id", F.col("cluster").cast("long"))
     return found.unionByName(short)
 
 

@@ -65,6 +65,26 @@ def test_bounded_tables_give_the_distances(spark):
     assert cl.neighbours(frame(spark, {1: [1.0]}).limit(0), 0.3).count() == 0
 
 
+def repeated_curves():
+    rng = np.random.default_rng(6)
+    curves = [*(rng.random(6) for _ in range(5)), np.zeros(6), 2.0 * np.ones(6)]
+    return {i: curves[i % 7] for i in range(63)} | {70: [1.0], 80: [np.nan, 1.0], 81: [np.nan, 1.0], 90: rng.random(6), 91: 9 * rng.random(6)}
+
+
+def test_equal_curves_cluster_as_one(spark, monkeypatch):
+    features = repeated_curves()
+    seen, near_curves = [], cl._near_curves
+    monkeypatch.setattr(cl, "_near_curves", lambda rows, *more: seen.append(rows.count()) or near_curves(rows, *more))
+    templates = spark.createDataFrame([(i,) for i in features], "template_id long")
+    for rho, min_points in ((0.4, 1), (0.3, 8), (0.5, 12), (0.4, 20), (0.0, 1)):
+        pairs = [(a, b, float(d)) for a in features for b in features if a < b and (d := cl.dtw(features[a], features[b])) < rho]
+        near = spark.createDataFrame(pairs, "a long, b long, distance double")
+        want = {(r.template_id, r.cluster) for r in cl.dbscan(templates, near, min_points).collect()}
+        assert {(r.template_id, r.cluster) for r in cl.cluster(frame(spark, features), rho, min_points=min_points).collect()} == want
+    # seven curves of nine templates each, and five templates beside them
+    assert seen == [12] * 4
+
+
 def test_centers_are_aligned_at_the_end(spark):
     series = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0), (2, 1, 10.0), (2, 2, 20.0), (3, 0, 5.0)], "template_id long, t long, rate double")
     assigned = spark.createDataFrame([(1, 7), (2, 7), (3, -1)], "template_id long, cluster long")
