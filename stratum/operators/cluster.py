@@ -96,6 +96,8 @@ _LARGE_BLOCK = 2048
 #: Pairs whose bounds are held at once, and whose tables are.
 _BOUNDED = 1 << 18
 _TABLES = 2048
+#: Members of a class of equal curves that are paired at once with those of another.
+_MEMBERS = 512
 
 
 def _near_pairs(ids: np.ndarray, series: list[np.ndarray], blocks: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,8 +181,29 @@ def _near_curves(rows: DataFrame, rho: float, blocks: int | None = None) -> Data
 
 
 def neighbours(feature_rows: DataFrame, rho: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, distance) of all template pairs a < b with distance below rho, in blocks (their number may be given)."""
-    return _near_curves(written(feature_rows.select(F.col("template_id").cast("long").alias("template_id"), "feature"), "features"), rho, blocks)
+    """(a, b, distance) of all template pairs a < b with distance below rho.
+
+    A stated set of templates against itself: one of each class of equal curves is compared, in blocks (their number
+    may be given), and what is found holds for all members of both classes, who become pairs last.
+    """
+    curves, members = equal_curves(feature_rows)
+    found = _near_curves(curves, rho, blocks)
+    if curves.count() == members.count():
+        return found
+    if rho > 0:
+        found = found.unionByName(curves.where("n > 1").select(F.col("template_id").alias("a"), F.col("template_id").alias("b"), F.lit(0.0).alias("distance")))
+    parts = members.join(curves.select(F.col("template_id").alias("rep"), "n"), "rep")
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("template_id"), F.ceil(F.col("n") / _MEMBERS)))
+    parts = parts.groupBy("rep", "part").agg(F.collect_list("template_id").alias("ids"))
+    left, right = (parts.select(F.col("rep").alias(k), F.col("part").alias(f"{k}_part"), F.col("ids").alias(f"{k}_ids")) for k in "ab")
+    both = found.join(left, "a").join(right, "b").where("a <> b OR a_part <= b_part")
+    most = curves.agg(F.max("n")).first()[0]
+    if most > _MEMBERS:
+        # a large class has many parts: their pairs are dealt out before they become rows
+        both = both.repartition("a", "a_part", "b", "b_part")
+    both = both.withColumn("x", F.explode("a_ids")).select("a", "a_part", "b", "b_part", "distance", "x", F.explode("b_ids").alias("y"))
+    both = both.where("x < y OR (x > y AND (a <> b OR a_part <> b_part))")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def dbscan(templates: DataFrame, near: DataFrame, min_points: int = 1, members: DataFrame | None = None) -> DataFrame:

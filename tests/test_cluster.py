@@ -85,6 +85,19 @@ def test_equal_curves_cluster_as_one(spark, monkeypatch):
     assert seen == [12] * 4
 
 
+def test_equal_curves_are_compared_once(spark, monkeypatch):
+    features = repeated_curves()
+    want = {(a, b): d for a in features for b in features if a < b and (d := cl.dtw(features[a], features[b])) < 0.5}
+    seen, near_curves = [], cl._near_curves
+    monkeypatch.setattr(cl, "_near_curves", lambda rows, *more: seen.append(rows.count()) or near_curves(rows, *more))
+    for members in (512, 4):
+        monkeypatch.setattr(cl, "_MEMBERS", members)
+        got = [((r.a, r.b), r.distance) for r in cl.neighbours(frame(spark, features), 0.5).collect()]
+        assert len(got) == len(want) and dict(got) == pytest.approx(want)
+    assert seen == [12] * 2
+    assert cl.neighbours(frame(spark, features), 0.0).count() == 0
+
+
 def test_centers_are_aligned_at_the_end(spark):
     series = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0), (2, 1, 10.0), (2, 2, 20.0), (3, 0, 5.0)], "template_id long, t long, rate double")
     assigned = spark.createDataFrame([(1, 7), (2, 7), (3, -1)], "template_id long, cluster long")
