@@ -30,10 +30,26 @@ _CLASS = np.zeros(256, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123)]] = 1
 _CLASS[[*range(48, 58)]] = 2
 _CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'|"]] = 3
+#: Files whose steps are these make one pre-token of a run of letters that no other character interrupts.
+_WORD_STEPS = (
+    r'''Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])''',
+    r'''Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])''',
+)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _only_letters(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a unit holds nothing but letters of ASCII and Latin-1 (U+00C0 to U+00FF), which composition leaves alone
+    and whose lower case is one letter each."""
+    after = np.append(buf[1:], np.uint8(0))
+    lead = (buf == 0xC3) & (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)
+    letter = (_CLASS[buf] == 1) | lead
+    letter[1:] |= lead[:-1]
+    others = np.concatenate([[0], np.cumsum(~letter)])
+    return others[ends] == others[starts]
+
+
 def _unicode_space_ends(buf: np.ndarray) -> np.ndarray:
     """Whether a byte is the last of a white-space character outside ASCII (or a separator control)."""
     out = (buf >= 0x1C) & (buf <= 0x1F)
@@ -84,6 +100,13 @@ class UnitEncoder:
         self.mark, self.mark_id = max(special.items(), key=lambda x: x[1])
         normalizer = self.tokenizer.normalizer
         self.folds = normalizer is not None and not self.keep_space and normalizer.normalize_str("AZ") == "az"
+        steps = (str(normalizer), str(self.tokenizer.pre_tokenizer))
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Which ids end a pre-token, for files that tell by their suffix.
+        self.last = None
+        if suffix and steps == _WORD_STEPS:
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -104,29 +127,56 @@ class UnitEncoder:
             raise ValueError("the separator was not kept apart")
         return np.delete(ids, marks), sizes
 
+    def _library_spaced(self, data: bytes, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """ids of n units of letters that stand joined by blanks: each is one pre-token, whose last id has the suffix."""
+        ids = np.array(self.tokenizer.encode_batch_fast([data.decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) != n or ends[-1] != len(ids) - 1:
+            return None
+        return ids, np.diff(ends, prepend=-1)
+
+    @staticmethod
+    def _joined(buf: np.ndarray, a: np.ndarray, b: np.ndarray, mark: np.ndarray) -> bytes:
+        """The units with the mark between them."""
+        width = b - a + len(mark)
+        to = np.cumsum(width) - width
+        joined = np.empty(int(width.sum()), np.uint8)
+        shift = np.repeat(a - to, b - a)
+        place = np.arange(len(shift)) + np.repeat(np.arange(len(a)) * len(mark), b - a)
+        joined[place] = buf[place + shift]
+        joined[(to + b - a)[:, None] + np.arange(len(mark))] = mark
+        return joined[: -len(mark)].tobytes()
+
     def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         mark = np.frombuffer(self.mark.encode(), np.uint8)
+        blank = np.frombuffer(b" ", np.uint8)
+        letters = _only_letters(buf, starts, ends) if self.last is not None else np.zeros(len(starts), bool)
         for at in range(0, len(starts), _BATCH):
-            a, b = starts[at : at + _BATCH], ends[at : at + _BATCH]
-            width = b - a + len(mark)
-            to = np.cumsum(width) - width
-            joined = np.empty(int(width.sum()), np.uint8)
-            shift = np.repeat(a - to, b - a)
-            place = np.arange(len(shift)) + np.repeat(np.arange(len(a)) * len(mark), b - a)
-            joined[place] = buf[place + shift]
-            joined[(to + b - a)[:, None] + np.arange(len(mark))] = mark
-            data = joined[: -len(mark)].tobytes()
-            if data.count(mark.tobytes()) == len(a) - 1:
-                ids, sizes = self._library_joined(data, len(a))
+            a, b, plain = starts[at : at + _BATCH], ends[at : at + _BATCH], letters[at : at + _BATCH]
+            got = self._library_spaced(self._joined(buf, a[plain], b[plain], blank), int(plain.sum())) if plain.any() else None
+            if got is None:
+                plain = np.zeros(len(a), bool)
+                got = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            a, b = a[~plain], b[~plain]
+            if not len(a):
+                more = np.zeros(0, np.uint32), np.zeros(0, np.int64)
             else:
-                text = buf.tobytes()
-                ids, sizes = self._library([text[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-            self._store(ids, sizes)
-
-    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.starts.extend(self.ids.used + np.cumsum(sizes) - sizes)
+                data = self._joined(buf, a, b, mark)
+                if data.count(mark.tobytes()) == len(a) - 1:
+                    more = self._library_joined(data, len(a))
+                else:
+                    text = buf.tobytes()
+                    more = self._library([text[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            self._store(plain, got, more)
+
+    def _store(self, plain: np.ndarray, got: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> None:
+        """Numbers units in their order; the ids of the plain ones stand before those of the others."""
+        sizes, first = np.empty(len(plain), np.int64), np.empty(len(plain), np.int64)
+        for which, (ids, count) in ((plain, got), (~plain, more)):
+            sizes[which], first[which] = count, self.ids.used + np.cumsum(count) - count
+            self.ids.extend(ids)
+        self.starts.extend(first)
         self.sizes.extend(sizes)
-        self.ids.extend(ids)
 
     def _folded(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bytes by which units are compared: in lower case if the file folds case, but for units with a bar, which

@@ -34,6 +34,23 @@ def test_units_give_the_ids_of_the_library(spark, name):
             at += size
 
 
+def test_words_of_letters_need_no_marks_between_them():
+    texts = ["Zebra über ÉCOLE naïve x×y a÷b ß ÿÀ", "don't l'été 12 über42 á ſ İx <|endoftext|> ª Ⅳ", "über " * 3, "日本 Straße!"]
+    ours, library = UnitEncoder(vocabulary("word_bpe_49k.json")), Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    marked, with_marks = [], ours._library_joined
+    ours._library_joined = lambda data, n: marked.extend(data.decode().split(ours.mark)) or with_marks(data, n)
+    for text in texts:
+        _, _, buf, offsets = next(tk.slices(pa.array([text])))
+        assert ours.encode(buf, offsets)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not {"Zebra", "über", "ÉCOLE", "naïve", "ß", "ÿÀ", "Straße"} & set(marked) and {"x×y", "a÷b", "日本"} <= set(marked)
+    # an answer that does not hold a word for each is not believed
+    again = UnitEncoder(vocabulary("word_bpe_49k.json"))
+    again.last[:] = False
+    _, _, buf, offsets = next(tk.slices(pa.array(texts[:1])))
+    assert again.encode(buf, offsets)[0].tolist() == library.encode(texts[0], add_special_tokens=False).ids
+    assert UnitEncoder(vocabulary("byte_bpe_50k.json")).last is None
+
+
 def test_a_full_store_starts_anew(monkeypatch):
     import stratum.llm.encoding as encoding
 
