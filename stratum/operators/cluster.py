@@ -78,7 +78,7 @@ def dtw_below(a: np.ndarray, b: np.ndarray, rho: float) -> np.ndarray:
             np.add(np.minimum(cells, before[lo:hi], out=cells), gap, out=cells)
             here[: lo + 1] = here[hi + 1 : hi + 2] = np.inf
         before, last, here = last, here, before
-        if d % 8 == 7:
+        if d % 8 == 7 and 3 * d < 2 * (n + m):
             on = np.minimum(last.min(0), before.min(0)) < rho
             if 2 * np.count_nonzero(on) < len(live):
                 live, a, b, before, last = live[on], a[:, on], b[:, on], before[:, on], last[:, on]
@@ -100,8 +100,9 @@ _TABLES = 2048
 _MEMBERS = 512
 
 
-def _near_pairs(ids: np.ndarray, series: list[np.ndarray], blocks: np.ndarray, rho: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """a, b and distance of the pairs within rho between two blocks, or inside the only one."""
+def _near_pairs(ids: np.ndarray, series: list[np.ndarray], blocks: np.ndarray, rho: float, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and distance of the pairs within rho between two blocks, or inside the only one; with labels, of those
+    whose labels differ."""
     sizes, found = np.array([len(x) for x in series]), [(ids[:0], ids[:0], np.zeros(0))]
     left, right = (blocks == blocks.min()), (blocks == blocks.max())
     one = blocks.min() == blocks.max()
@@ -127,6 +128,8 @@ def _near_pairs(ids: np.ndarray, series: list[np.ndarray], blocks: np.ndarray, r
                 close = least < rho
                 if one:
                     close &= ids[x[some]][:, None] < ids[y][None, :]
+                if labels is not None:
+                    close &= labels[x[some]][:, None] != labels[y][None, :]
                 i, j = np.nonzero(close)
                 i += top
                 for at in range(0, len(i), _TABLES):
@@ -154,24 +157,30 @@ def equal_curves(feature_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select(F.col("rep").alias("template_id"), "feature", "n"), members
 
 
-def _near_curves(rows: DataFrame, rho: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, distance) of all pairs of rows a < b with distance below rho, in blocks (of BLOCK to _LARGE_BLOCK, unless
-    their number is given): a row goes to the units of its block with every block, and each unit, once dealt out, bounds
-    its pairs from below, computes those that may be near and returns those that are. No task holds more than two
-    blocks, and no pair is a row before it is near."""
-    rows = rows.select("template_id", "feature")
+def _blocks(rows: int) -> int:
+    """Blocks of BLOCK rows up to _FEW_BLOCKS, then of as many rows as _LARGE_BLOCK."""
+    return max(1, min(-(-rows // BLOCK), _FEW_BLOCKS), -(-rows // _LARGE_BLOCK))
+
+
+def _near_curves(rows: DataFrame, rho: float, blocks: int | None = None, units_where: str = "true") -> DataFrame:
+    """(a, b, distance) of all pairs of rows a < b with distance below rho, in blocks: a row goes to the units (lo, hi)
+    of its block with every block, and each unit, once dealt out, bounds its pairs from below, computes those that may
+    be near and returns those that are. No task holds more than two blocks, and no pair is a row before it is near.
+    Rows with a label are compared with those of other labels only; units_where chooses units."""
+    labelled = "label" in rows.columns
+    rows = rows.select("template_id", "feature", *(["label"] if labelled else []))
     if blocks is None:
-        n = rows.count()
-        blocks = max(1, min(-(-n // BLOCK), _FEW_BLOCKS), -(-n // _LARGE_BLOCK))
+        blocks = _blocks(rows.count())
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("template_id"), F.lit(blocks)))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    units = rows.withColumn("with", other).withColumn("lo", F.least("blk", "with")).withColumn("hi", F.greatest("blk", "with"))
+    units = rows.withColumn("with", other).withColumn("lo", F.least("blk", "with")).withColumn("hi", F.greatest("blk", "with")).where(units_where)
 
     def near(held: pd.DataFrame) -> pd.DataFrame:
         own = held["blk"].to_numpy()
-        if held["lo"].iloc[0] != held["hi"].iloc[0] and own.min() == own.max():
+        labels = held["label"].to_numpy() if labelled else None
+        if (held["lo"].iloc[0] != held["hi"].iloc[0] and own.min() == own.max()) or (labelled and labels.min() == labels.max()):
             return pd.DataFrame({"a": [], "b": [], "distance": []})
-        got = _near_pairs(held["template_id"].to_numpy(), [unit(x) for x in held["feature"]], own, rho)
+        got = _near_pairs(held["template_id"].to_numpy(), [unit(x) for x in held["feature"]], own, rho, labels)
         return pd.DataFrame(dict(zip(("a", "b", "distance"), got, strict=True)))
 
     # units are few and cheap to send but dear to compute, so they are dealt out by number, not by size
@@ -180,6 +189,20 @@ def _near_curves(rows: DataFrame, rho: float, blocks: int | None = None) -> Data
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
+def _component_links(curves: DataFrame, rho: float) -> DataFrame:
+    """(a, b): links with the connected components of all pairs within rho, but not all of those pairs. Where there are
+    many blocks, those within a block and its next one come first; of all others, only pairs that these have not
+    connected are computed. What is connected stays so by a link of each to the least of its component."""
+    blocks = _blocks(curves.count())
+    if blocks <= _FEW_BLOCKS:
+        return _near_curves(curves, rho, blocks).select("a", "b")
+    joined = dbscan(curves, _near_curves(curves, rho, blocks, "hi <= lo + 1"))
+    joined = written(joined.select("template_id", F.col("cluster").alias("label")), "curve-labels")
+    stars = joined.where("label <> template_id").select(F.col("label").alias("a"), F.col("template_id").alias("b"))
+    rest = _near_curves(curves.join(joined, "template_id"), rho, blocks, "hi > lo + 1")
+    return stars.unionByName(rest.select("a", "b"))
+
+
 def neighbours(feature_rows: DataFrame, rho: float, blocks: int | None = None) -> DataFrame:
     """(a, b, distance) of all template pairs a < b with distance below rho.
 
@@ -250,7 +273,8 @@ def cluster(feature_rows: DataFrame, rho: float, bound: int = 1, min_points: int
     short = feature_rows.where(F.size("feature") < bound).select("template_id", F.lit(-1).cast("long").alias("cluster"))
     if rho > 0:
         curves, members = equal_curves(long)
-        found = dbscan(curves, _near_curves(curves, rho), min_points, members)
+        near = _component_links(curves, rho) if min_points == 1 else _near_curves(curves, rho)
+        found = dbscan(curves, near, min_points, members)
     else:
         found = long.select("template_id", F.col("template_id").alias("cluster"))  # no distance is below rho
     found = found.select("template_id", F.col("cluster").cast("long"))

@@ -85,6 +85,21 @@ def test_equal_curves_cluster_as_one(spark, monkeypatch):
     assert seen == [12] * 4
 
 
+def test_components_need_no_pairs_inside_them(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    shapes = [rng.random(8) for _ in range(6)]
+    # many near the first shape, few near others, some near none
+    features = {i: shapes[0 if i % 3 else i % 6] + 0.02 * rng.random(8) for i in range(60)} | {100 + i: 9.0 ** rng.permutation(8) for i in range(8)}
+    want = {(r.template_id, r.cluster) for r in cl.cluster(frame(spark, features), 0.15).collect()}
+    assert 4 < len({c for _, c in want}) < 20
+    for large in (6, 12):
+        monkeypatch.setattr(cl, "_FEW_BLOCKS", 2)
+        monkeypatch.setattr(cl, "_LARGE_BLOCK", large)
+        assert {(r.template_id, r.cluster) for r in cl.cluster(frame(spark, features), 0.15).collect()} == want
+        links = cl._component_links(cl.equal_curves(frame(spark, features))[0], 0.15)
+        assert links.count() < cl.neighbours(frame(spark, features), 0.15).count() / 2
+
+
 def test_equal_curves_are_compared_once(spark, monkeypatch):
     features = repeated_curves()
     want = {(a, b): d for a in features for b in features if a < b and (d := cl.dtw(features[a], features[b])) < 0.5}
