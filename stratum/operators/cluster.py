@@ -130,18 +130,25 @@ def _near_pairs(ids: np.ndarray, series: list[np.ndarray], blocks: np.ndarray, r
                     close &= ids[x[some]][:, None] < ids[y][None, :]
                 if labels is not None:
                     close &= labels[x[some]][:, None] != labels[y][None, :]
+                chosen = []
+                if n and m and len(y) >= _TABLES // 2:
+                    # where most of a long row is close, it is computed as a whole, without picking columns
+                    for k in np.flatnonzero(2 * close.sum(1) >= len(y)).tolist():
+                        whole = np.broadcast_to(a32[:, top + k, None], b32.shape)
+                        q = np.flatnonzero((dtw_below(whole, b32, roughly) < roughly) & close[k])
+                        chosen.append((np.full(len(q), k), q))
+                        close[k] = False
                 i, j = np.nonzero(close)
-                i += top
                 for at in range(0, len(i), _TABLES):
                     p, q = i[at : at + _TABLES], j[at : at + _TABLES]
-                    if n and m:
-                        on = dtw_below(a32[:, p], b32[:, q], roughly) < roughly
-                        p, q = p[on], q[on]
-                        d = dtw_below(a[:, p], b[:, q], rho)
-                        p, q, d = p[d < rho], q[d < rho], d[d < rho]
-                    else:
-                        d = np.zeros(len(p))
-                    found.append((ids[x[p]], ids[y[q]], d))
+                    on = dtw_below(a32[:, top + p], b32[:, q], roughly) < roughly if n and m else np.full(len(p), True)
+                    chosen.append((p[on], q[on]))
+                p, q = (np.concatenate(part) for part in zip((i[:0], j[:0]), *chosen, strict=True))
+                for at in range(0, len(p), _TABLES):
+                    u, v = p[at : at + _TABLES] + top, q[at : at + _TABLES]
+                    d = dtw_below(a[:, u], b[:, v], rho) if n and m else np.zeros(len(u))
+                    on = d < rho
+                    found.append((ids[x[u[on]]], ids[y[v[on]]], d[on]))
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 

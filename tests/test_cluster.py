@@ -113,6 +113,20 @@ def test_equal_curves_are_compared_once(spark, monkeypatch):
     assert cl.neighbours(frame(spark, features), 0.0).count() == 0
 
 
+def test_long_rows_are_computed_as_a_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    series, ids = [cl.unit(rng.random(7)) for _ in range(40)], rng.permutation(40)
+    labels, calls, below = rng.integers(0, 5, 40), [], cl.dtw_below
+    monkeypatch.setattr(cl, "dtw_below", lambda a, b, rho: calls.append(a.strides[-1]) or below(a, b, rho))
+    for blocks in (np.zeros(40, int), np.repeat([0, 1], 20)):
+        got = []
+        for tables in (2048, 8):
+            monkeypatch.setattr(cl, "_TABLES", tables)
+            got.append({(min(a, b), max(a, b)): d for a, b, d in zip(*cl._near_pairs(ids, series, blocks, 0.5, labels), strict=True)})
+        assert got[0] == got[1] and got[0]
+    assert 0 in calls
+
+
 def test_centers_are_aligned_at_the_end(spark):
     series = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0), (2, 1, 10.0), (2, 2, 20.0), (3, 0, 5.0)], "template_id long, t long, rate double")
     assigned = spark.createDataFrame([(1, 7), (2, 7), (3, -1)], "template_id long, cluster long")
