@@ -19,7 +19,7 @@ import numpy as np
 from stratum.llm import textkit as tk
 from stratum.llm.common import keeps
 
-#: Units held by a process; beyond it the store starts anew.
+#: Units held by a process; beyond it those that were not met again are forgotten, or all if that leaves little room.
 MOST_UNITS = 500_000
 #: Units that the library gets at once.
 _BATCH = 8_000
@@ -35,8 +35,6 @@ _WORD_STEPS = (
     r'''Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])''',
     r'''Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])''',
 )
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def _only_letters(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -50,6 +48,19 @@ def _only_letters(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return others[ends] == others[starts]
 
 
+def _lowered(buf: np.ndarray) -> np.ndarray:
+    """A copy with the ASCII letters in lower case."""
+    return np.frombuffer(bytearray(buf).lower(), np.uint8)
+
+
+def _lower_letters(buf: np.ndarray) -> np.ndarray:
+    """Units of letters as above, and blanks, in lower case: U+00C0 to U+00DE stand 32 before theirs."""
+    out = _lowered(buf)
+    lead = np.flatnonzero(buf == 0xC3) + 1
+    out[lead] |= np.where(out[lead] <= 0x9E, np.uint8(0x20), np.uint8(0))
+    return out
+
+
 def _unicode_space_ends(buf: np.ndarray) -> np.ndarray:
     """Whether a byte is the last of a white-space character outside ASCII (or a separator control)."""
     out = (buf >= 0x1C) & (buf <= 0x1F)
@@ -69,12 +80,14 @@ def units(buf: np.ndarray, offsets: np.ndarray, keep_space: bool) -> tuple[np.nd
     kind = _CLASS[buf]
     stop = np.zeros(len(buf), bool)
     stop[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
-    if not keep_space:
-        starts, ends = tk.words(buf, offsets)
-        inner = np.flatnonzero(stop)
-        inner = inner[~np.isin(inner, offsets)]
-        return np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
     space = tk.SPACE[buf]
+    if not keep_space:
+        # places where a unit may start or end: texts, white space and stops
+        edge = np.ones(len(buf) + 1, bool)
+        edge[1:-1] = space[1:] | space[:-1] | stop[1:]
+        edge[offsets] = True
+        solid = ~space
+        return np.flatnonzero(solid & edge[:-1]), np.flatnonzero(solid & edge[1:]) + 1
     broad = space | _unicode_space_ends(buf)
     cut = np.zeros(len(buf) + 1, bool)
     cut[1:-1] = (space[1:] & ~broad[:-1]) | stop[1:]
@@ -102,9 +115,12 @@ class UnitEncoder:
         self.folds = normalizer is not None and not self.keep_space and normalizer.normalize_str("AZ") == "az"
         steps = (str(normalizer), str(self.tokenizer.pre_tokenizer))
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        #: Which ids end a pre-token, for files that tell by their suffix.
+        #: Which ids end a pre-token, for files that tell by their suffix; and the file's splitter and model alone, for
+        #: units in lower case that hold no special string.
         self.last = None
         if suffix and steps == _WORD_STEPS:
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = self.tokenizer.pre_tokenizer
             self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self._clear()
@@ -112,6 +128,23 @@ class UnitEncoder:
     def _clear(self) -> None:
         self.known = tk.Known()
         self.starts, self.sizes, self.ids = tk.Column(np.int64), tk.Column(np.int32), tk.Column(np.uint32)
+        self.met = tk.Column(bool)
+
+    def _forget(self, room: int) -> bool:
+        """Forgets the units that were not met again since the last time; all of them if so many more find no room in
+        half of the store. Whether any is left."""
+        met = self.met.data[: len(self.known)]
+        if not met.any() or int(met.sum()) + room > MOST_UNITS // 2:
+            self._clear()
+            return False
+        self.known.keep(met)
+        sizes = self.sizes.data[: len(met)][met].astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        ids = self.ids.data[np.repeat(self.starts.data[: len(met)][met] - first, sizes) + np.arange(int(sizes.sum()))]
+        self.starts, self.sizes, self.ids, self.met = tk.Column(np.int64), tk.Column(np.int32), tk.Column(np.uint32), tk.Column(bool)
+        for column, values in ((self.starts, first), (self.sizes, sizes), (self.ids, ids), (self.met, np.zeros(len(first), bool))):
+            column.extend(values)
+        return True
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids and their numbers for units that hold the separator themselves."""
@@ -129,7 +162,8 @@ class UnitEncoder:
 
     def _library_spaced(self, data: bytes, n: int) -> tuple[np.ndarray, np.ndarray] | None:
         """ids of n units of letters that stand joined by blanks: each is one pre-token, whose last id has the suffix."""
-        ids = np.array(self.tokenizer.encode_batch_fast([data.decode()], add_special_tokens=False)[0].ids, np.uint32)
+        text = _lower_letters(np.frombuffer(data, np.uint8)).tobytes().decode()
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[ids])
         if len(ends) != n or ends[-1] != len(ids) - 1:
             return None
@@ -148,6 +182,11 @@ class UnitEncoder:
         return joined[: -len(mark)].tobytes()
 
     def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        # the units alone, one after the other
+        width = ends - starts
+        to = np.cumsum(width)
+        buf = buf[np.repeat(starts - to + width, width) + np.arange(int(width.sum()))]
+        starts, ends = to - width, to
         mark = np.frombuffer(self.mark.encode(), np.uint8)
         blank = np.frombuffer(b" ", np.uint8)
         letters = _only_letters(buf, starts, ends) if self.last is not None else np.zeros(len(starts), bool)
@@ -177,13 +216,14 @@ class UnitEncoder:
             self.ids.extend(ids)
         self.starts.extend(first)
         self.sizes.extend(sizes)
+        self.met.extend(np.zeros(len(plain), bool))
 
     def _folded(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bytes by which units are compared: in lower case if the file folds case, but for units with a bar, which
         may be special strings and those are told by case."""
         if not self.folds:
             return buf
-        out = _LOWER[buf]
+        out = _lowered(buf)
         for i in np.unique(np.searchsorted(starts, np.flatnonzero(buf == 0x7C), "right") - 1).tolist():
             out[starts[i] : ends[i]] = buf[starts[i] : ends[i]]
         return out
@@ -203,21 +243,27 @@ class UnitEncoder:
         slot = None if some is None else self.known.find(some)
         if slot is None:
             return self._plain(buf, offsets)
-        new = np.flatnonzero(slot < 0)
+        new, old = np.flatnonzero(slot < 0), np.flatnonzero(slot >= 0)
+        self.met.data[slot[old]] = True
         if len(new):
-            # a cleared store has lost what it knew, so all units of this batch are learnt then
             if len(self.known) + len(new) > MOST_UNITS:
-                self._clear()
-                new = np.arange(len(slot))
+                # units of this batch are among those met; a cleared store has lost them, so all are learnt then
+                number = np.cumsum(self.met.data) - 1
+                if self._forget(len(new)):
+                    slot[old] = number[slot[old]]
+                else:
+                    new = np.arange(len(slot))
             slot[new] = len(self.known) + np.arange(len(new))
             one = some.one[new]
             self._learn(buf, starts[one], ends[one])
             self.known.add(some, new)
         at = slot[some.which]
-        sizes = self.sizes.data[at].astype(np.int64)
-        before = np.cumsum(sizes) - sizes
-        pick = np.repeat(self.starts.data[at] - before, sizes) + np.arange(int(sizes.sum()))
-        return self.ids.data[pick], np.bincount(tk.rows_of(starts, offsets), sizes, n).astype(np.int64)
+        sizes = self.sizes.data[at]
+        before = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(sizes, out=before[1:])
+        pick = np.repeat(self.starts.data[at] - before[:-1], sizes)
+        pick += np.arange(len(pick))
+        return self.ids.data[pick], np.diff(before[np.searchsorted(starts, offsets)])
 
 
 @functools.lru_cache(maxsize=4)

@@ -49,7 +49,10 @@ class Strings:
     def equal(self, i: np.ndarray, other: Strings, j: np.ndarray) -> np.ndarray:
         """Whether string i[k] here and string j[k] there are the same bytes."""
         same = self.length[i] == other.length[j]
-        at = np.flatnonzero(same)
+        # most strings are one block long: the first blocks need no ranges
+        at = np.flatnonzero(same & (self.length[i] > 0))
+        same[at] = self.block[self.first[i[at]]] == other.block[other.first[j[at]]]
+        at = np.flatnonzero(same & (self.length[i] > 8))
         count = self.count[i[at]]
         inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         differ = self.block[np.repeat(self.first[i[at]], count) + inner] != other.block[np.repeat(other.first[j[at]], count) + inner]
@@ -101,7 +104,14 @@ class Distinct:
 
 def distinct(strings: Strings) -> Distinct | None:
     """Told by hash and confirmed byte by byte; None if two different strings have one hash."""
-    keys, one, which = np.unique(strings.hash, return_index=True, return_inverse=True)
+    coded = pa.array(strings.hash).dictionary_encode()
+    keys, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order = np.argsort(keys)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    keys, which = keys[order], place[which]
+    one = np.empty(len(keys), np.int64)
+    one[which] = np.arange(len(which))
     if not strings.equal(np.arange(len(which)), strings, one[which]).all():
         return None
     return Distinct(strings, keys, one, which)
@@ -156,6 +166,19 @@ class Known:
         order = np.argsort(keys, kind="stable")
         self.keys, self.slots = keys[order], slots[order]
 
+    def keep(self, kept: np.ndarray) -> None:
+        """Forgets all strings but those that are marked, by number; these are numbered anew, in their order."""
+        mine = np.flatnonzero(kept)
+        count = (self.length.data[mine].astype(np.int64) + 7) >> 3
+        first = np.cumsum(count) - count
+        inner = np.arange(int(count.sum())) - np.repeat(first, count)
+        block, length = self.block.data[np.repeat(self.first.data[mine].astype(np.int64), count) + inner], self.length.data[mine]
+        self.block, self.first, self.length = Column(np.uint64), Column(np.int32), Column(np.int32)
+        for column, values in ((self.block, block), (self.first, first), (self.length, length)):
+            column.extend(values)
+        stays = kept[self.slots]
+        self.keys, self.slots = self.keys[stays], (np.cumsum(kept) - 1)[self.slots[stays]].astype(np.int32)
+
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows in them) for runs of rows of about `most` bytes."""

@@ -54,17 +54,19 @@ RUN_BYTES = 1 << 30
 
 _CRC_POLY = 0xEDB88320
 _ID_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: What ids below 2**16 add to the rolling hash; larger ones are computed.
+_SMALL_IDS = tk.mix(np.arange(1 << 16, dtype=np.uint64) * _ID_MIX + np.uint64(1))
 
 
 def cuts(ids: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
     """Chunk ends of each document, relative to it; they depend on nothing but the document's own ids."""
-    values = tk.mix(ids.astype(np.uint64) * _ID_MIX + np.uint64(1))
-    rolling = values.copy()
+    small = len(ids) and int(ids.max()) < len(_SMALL_IDS)
+    rolling = _SMALL_IDS[ids] if small else tk.mix(ids.astype(np.uint64) * _ID_MIX + np.uint64(1))
     step = 1
     while step < WINDOW:
-        shifted = np.zeros_like(rolling)
-        shifted[step:] = rolling[:-step]
-        rolling = rolling * np.uint64(pow(0xD6E8FEB86659FD93, step, 1 << 64)) + shifted
+        longer = rolling * np.uint64(pow(0xD6E8FEB86659FD93, step, 1 << 64))
+        longer[step:] += rolling[:-step]
+        rolling = longer
         step *= 2
     marks = np.flatnonzero(tk.mix(rolling) >> np.uint64(64 - (MEAN.bit_length() - 1)) == 0) + 1
     ends = np.cumsum(sizes)

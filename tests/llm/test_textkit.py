@@ -120,3 +120,21 @@ def test_long_and_structured_texts_pack_and_count(spark):
     assert {r.doc_id: r.n_tokens for r in transducer.count_tokens(docs, vocabulary("byte_bpe_50k.json")).collect()} == want
     got = packing.pack(docs, vocabulary("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r.doc_id: r.n - 1 for r in got} == want
+
+
+def test_known_strings_that_are_kept_are_numbered_anew():
+    def held(texts):
+        data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+        return tk.distinct(tk.strings_of(np.frombuffer(data, np.uint8), ends - [len(t) for t in texts], ends))
+
+    texts = [b"a" * n + b"b" * (n % 3) for n in range(1, 60)]
+    known, some = tk.Known(), held(texts + texts[::-1])
+    assert len(some.keys) == len(texts) and (np.diff(some.keys.astype(object)) > 0).all()
+    known.add(some, np.arange(len(some.keys)))
+    kept = np.arange(len(texts)) % 4 == 1
+    known.keep(kept)
+    slot = known.find(some)
+    assert slot.tolist() == np.where(kept, np.cumsum(kept) - 1, -1).tolist()
+    new = np.flatnonzero(slot < 0)
+    known.add(some, new)
+    assert sorted(known.find(some).tolist()) == list(range(len(texts))) and (known.find(some)[new] == kept.sum() + np.arange(len(new))).all()

@@ -86,3 +86,11 @@ def test_cuts_follow_content():
     assert max(np.diff([0, *one])) <= ts.LONGEST and one[-1] == len(a)
     same = np.zeros(10000, np.uint32)
     assert ts.cuts(same, np.array([10000]))[0][-1] == 10000
+
+
+def test_large_ids_are_cut_as_small_ones_are():
+    rng = np.random.default_rng(2)
+    small = rng.integers(0, 1 << 16, 20000).astype(np.uint32)
+    both = np.concatenate([small, np.array([1 << 20], np.uint32)])
+    one, two = ts.cuts(small, np.array([len(small)]))[0], ts.cuts(both, np.array([len(small), 1]))[0]
+    assert one == two and len(one) > 20
